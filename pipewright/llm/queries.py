@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_file
+from . import ngram_join, packing, repetition, token_file
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_covered", "base_failed", "kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_files(_table(spark, sf_dir, "documents"), WORD_BPE, end=2)
 
@@ -22,6 +27,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op9_best_fit_packing)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_repetition, op3_token_files, op9_best_fit_packing, op10_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
