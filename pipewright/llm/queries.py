@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, repetition, token_file
+from . import license_scan, ngram_join, packing, repetition, token_file
+from .oracle import ORACLE_SQL  # noqa: F401
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_files(_table(spark, sf_dir, "documents"), WORD_BPE, end=2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end=1, capacity=4096)
 
@@ -31,6 +36,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition, op3_token_files, op9_best_fit_packing, op10_ngram_join)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_repetition, op3_token_files, op4_license_scan, op9_best_fit_packing, op10_ngram_join)}
