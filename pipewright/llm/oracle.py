@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, repetition
+from . import license_scan, repetition, warc_zip
 from .license_rules import RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -59,4 +59,14 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_b
 FROM base LEFT JOIN best USING (doc_id)"""
 
 
-ORACLE_SQL = {"op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}
+def warc_sql() -> str:
+    """Operator 8."""
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+  f AS (SELECT *, CASE WHEN n >= {warc_zip.LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+ORACLE_SQL = {"op8_warc_zip": warc_sql(), "op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}
