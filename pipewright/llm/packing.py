@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, texts
+from .common import settle
 from .token_file import word_encoder
 
 RANK_GROUP = 50_000  # pieces of one length that a task ranks together
@@ -100,9 +100,9 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, id_col: str
         encoder = word_encoder(tokenizer)
         for batch in batches:
             out = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder(text.as_py(), end)
-                raw = ids.tobytes()
+            names = batch.column(0).to_pylist()
+            for row, ids in encoder.column(batch.column(1), end):
+                doc_id, raw = names[row], ids.tobytes()
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     n = min(capacity, len(ids) - start)
                     for column, x in zip(out, (doc_id, k, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)])), strict=True):

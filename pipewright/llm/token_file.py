@@ -13,9 +13,12 @@ read with one look-up per level and no block is decoded. Layout of a shard, litt
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -23,56 +26,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, partitions, texts
+from .common import new_folder, open_fs, partitions, slices, texts
 
 MAGIC = b"PWDAC\x00\x00\x01"
 BLOCK = 512
-SHARD_BYTES = 64 << 20  # text in a shard, about
+SHARD_TOKENS = 16 << 20  # tokens after which a task begins a new shard
+NO_ID = -(1 << 63)  # stands for a null id
 
 
 # ------------------------------------------------------------------ encoding
-class _Chunks(dict):
-    """Ids of white-space-free chunks as bytes. The tokenizer drops white space and never joins across it,
-    so a text's ids are those of its chunks in order. Holds at most ``most`` chunks."""
-
-    def __init__(self, tokenizer, most: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = ids
-        return ids
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 
 
 class WordEncoder:
-    """Encodes whole texts with a white-space-dropping tokenizer file."""
+    """Encodes whole texts with a tokenizer file that composes and lower-cases characters, drops white
+    space and splits what is left into endings after an apostrophe, letters, single numbers and the rest.
 
-    #: What str.split() takes for white space and the tokenizer does not.
-    ODD = "\x1c\x1d\x1e\x1f"
+    Nothing is joined across those pieces, so a text's ids are those of its pieces in order. In texts of
+    Latin letters pieces are found here: each new one is encoded once, many in one call; the last token of
+    a piece is a word end, which parts them again. Other texts go to the tokenizer whole. About ``most``
+    white-space-free chunks are remembered: when half as many are new, those not used since are forgotten.
+    """
 
-    def __init__(self, path: str):
-        import os
+    #: Texts that are encoded whole: odd white space, special tokens, characters that fold in other ways.
+    WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0149\u01f0\u0250-\U0010ffff]|<\\|")
+    PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self.tokenizer)
-
-    def __call__(self, text: str | None, end: int | None = None) -> np.ndarray:
-        """Ids of a text (None: empty), with the end id after them if given."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, old = self.known, self.older
+        new = [c for c in chunks if c not in old]
+        known.update({c: old[c] for c in chunks if c in old})
+        split = {c: self.PIECE.findall(c) for c in new if not c.isalpha()}
+        pieces = list({p for ps in split.values() for p in ps if p not in known}.union(c for c in new if c not in split))
+        lines = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
+        ids = np.array([x for e in self.pieces.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(pieces):
+            raise ValueError("this tokenizer file doesn't end its pieces with word ends")
+        known.update({p: raw[i:j] for p, i, j in zip(pieces, [0, *ends], ends, strict=False)})
+        known.update({c: b"".join([known[p] for p in ps]) for c, ps in split.items()})
+
+    def many(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
+        """Ids of each text (None: empty), with the end id after them if given."""
         tail = b"" if end is None else struct.pack("<I", end)
-        if not text:
-            raw = tail
-        elif any(c in text for c in self.ODD):
-            raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + tail
-        else:
-            raw = b"".join(map(self.chunks.__getitem__, text.split())) + tail
-        return np.frombuffer(raw, "<u4")
+        split = [None if t and self.WHOLE.search(t) else (t or "").lower().split() for t in texts]
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        if new := {c for chunks in split if chunks for c in chunks if c not in self.known}:
+            self._learn(new)
+        known, out = self.known, []
+        for text, chunks in zip(texts, split, strict=True):
+            if chunks is None:
+                raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                raw = b"".join(map(known.__getitem__, chunks))
+            out.append(np.frombuffer(raw + tail, "<u4"))
+        return out
+
+    def column(self, column: pa.Array, end: int | None = None, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of a column's texts, about a megabyte of text at a time."""
+        _, offsets = texts(column)
+        for i, j in slices(offsets, most):
+            yield from enumerate(self.many(column.slice(i, j - i).to_pylist(), end), i)
 
 
 @lru_cache(maxsize=4)
@@ -165,14 +192,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
 
     Rows are dealt by range of id and sorted inside each task, so a hot source plays no part. A task
     writes under a name of its own attempt and renames, so a repeated attempt is harmless. Null text is
-    empty; rows with a repeated id stay, in unspecified order among themselves; a null id is refused.
+    empty; rows with a repeated id stay, in unspecified order among themselves; null ids come first.
     An empty table gives no shards. Other columns are not read.
     """
     encode_path, uri = tokenizer, folder
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         from pyspark import TaskContext
 
         encoder, ids, doc_ids, counts, n = word_encoder(encode_path), [], [], [], 0
@@ -189,15 +214,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if doc_id is None:
-                    raise ValueError(f"{id_col} is null")
-                got = encoder(text.as_py(), end)
+            names = batch.column(0).fill_null(NO_ID).to_pylist()
+            for row, got in encoder.column(batch.column(1), end):
                 ids.append(got)
-                doc_ids.append(doc_id)
+                doc_ids.append(names[row])
                 counts.append(len(got))
                 n += len(got)
-                if n >= SHARD_BYTES // 4:
+                if n >= SHARD_TOKENS:
                     yield flush()
         if doc_ids:
             yield flush()
@@ -212,8 +235,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
 def read_token_files(spark, manifest: list, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards.
 
-    ``manifest`` has a row per shard, in memory on the driver: some bytes for each 64 MB of text. The
-    shards' first token numbers follow from it.
+    ``manifest`` has a row per shard, in memory on the driver: some bytes for each task or 16 million
+    tokens. The shards' first token numbers follow from it.
     """
     rows, start = [], 0
     for r in sorted(manifest, key=lambda r: r["shard"]):
@@ -227,7 +250,7 @@ def read_token_files(spark, manifest: list, folder: str) -> DataFrame:
                 with filesystem.open_input_file(path) as file:
                     shard = Shard(file)
                     crc = [zlib.crc32(shard.document(k).tobytes()) for k in range(shard.documents)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.offsets[:-1] + base), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(shard.offsets[:-1] + base), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
