@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, repetition, warc_zip
+from . import license_scan, pq_dedup, repetition, warc_zip
 from .license_rules import RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -69,4 +69,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_dige
 FROM f"""
 
 
-ORACLE_SQL = {"op8_warc_zip": warc_sql(), "op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}
+def vectors_sql() -> str:
+    """Operator 1, by all pairs: for small tables."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {pq_dedup.SIMILARITY}),
+  r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+  c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, c.c) AS component_id, vec_id = least(vec_id, c.c) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+
+ORACLE_SQL = {"op1_pq_dedup": vectors_sql(), "op8_warc_zip": warc_sql(), "op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}

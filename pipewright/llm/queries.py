@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, ngram_join, packing, repetition, token_file, warc_zip
+from . import byte_bpe, license_scan, ngram_join, packing, pq_dedup, repetition, token_file, warc_zip
 from .oracle import ORACLE_SQL  # noqa: F401
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repetition.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_covered", "base_failed", "kept")
@@ -44,4 +48,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition, op3_token_files, op4_license_scan, op5_byte_bpe, op8_warc_zip, op9_best_fit_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pq_dedup, op2_repetition, op3_token_files, op4_license_scan, op5_byte_bpe, op8_warc_zip, op9_best_fit_packing, op10_ngram_join)}
