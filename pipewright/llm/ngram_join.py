@@ -6,17 +6,20 @@ than H on its segments, 1 where only an equal segment counts and 2 where one dif
 allowed, then any similar set matches it in some segment that got its share. So each document emits
 
 * in its own band a key for each segment that isn't empty, and in bands of small sets also one for each
-  segment less one shingle (the one-deletion neighbourhood),
-* in the band below, if that can hold similar sets, keys for just the segments that the cheapest budget
-  of H + 1 takes: those with the most shingles, since fewer documents share them.
-
-Segments that hold nothing in common with anything are never sent alone: a document whose other
-segments can't raise the budget ("deficient") is covered by further drawings of the partition in tiny
-bands, and elsewhere, where the chance is below 1e-11 a document, makes the whole join draw anew.
-
-Documents that share a key are candidates. Within a key each goes with the key's smallest document
-first; after the exact check only keys that still hold several components give further pairs. That is
-enough for components: a pair that is never compared is already connected.
+  segment less one shingle (the one-deletion neighbourhood); with these it can be found,
+* and asks for partners with just those keys, there and in the band below, that the cheapest budget of
+  H + 1 takes: it goes to the segments with the most shingles, since fewer documents share them. Short
+  segments, which hold a passage that many documents quote or nothing at all, are left out.
+
+A document whose segments can't raise the budget ("deficient") is covered by further drawings of the
+partition in tiny bands, and elsewhere, where the chance is below 1e-11 a document, makes the whole join
+draw anew.
+
+Documents that share a key for which at least one asks are candidates. Within a key each is linked to
+the key's first document, its center; a document is first checked against the center it shares most keys
+with. The components that this gives gather the documents of their centers' keys, and those of them that
+are not connected yet are checked against all of their group in blocks, by products of incidence
+matrices. That is enough for components: a pair that is never compared is already connected.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, mix, partitions, settle, slices, texts, word_hashes, words
-from .components import components
+from .components import _forest, components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5  # words of a shingle; similarity 4/5
 DELETIONS_UP_TO = 256  # bands of sets up to this size have one-deletion neighbourhoods
 DRAWS_UP_TO, DRAWS = 40, 4  # bands of sets up to this size are partitioned so many times
 KEYS_AT_ONCE = 2_000_000
+MEET = 1000  # documents of a block, about
+CROWD = 64  # documents of one key in one task that are linked before the shuffle
 KEYS_PER_TASK = 3_000_000
 
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -100,9 +105,15 @@ def segments(g: int) -> int:
     return math.ceil(0.75 * budget if TOPS[g] <= DELETIONS_UP_TO else 1.2 * budget)
 
 
+#: Lowest bits of a key: one shingle is left out; it is only to be found by; its set belongs to the band above.
+DELETED, PASSIVE, ABOVE, BITS = 1, 2, 4, np.uint64(3)
+
+
 def keys_of(tokens: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
-    """Keys of one set, lowest bit 1 for those of one-deletion neighbourhoods; whether it is deficient."""
+    """Keys of one set, with their bits, and whether it is deficient."""
     out, deficient, size = [], False, len(tokens)
+    if size < NUMERATOR:
+        return np.zeros(0, np.uint64), False  # only equal sets are similar
     own = band(size)
     for g in (own, own - 1):
         top = TOPS[g] if g >= 0 else 0
@@ -111,8 +122,6 @@ def keys_of(tokens: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
         if g < 0 or least > most:
             continue
         budget, m, near = differences(size, most) + 1, segments(g), top <= DELETIONS_UP_TO
-        if size < 4:
-            continue  # only equal sets are similar
         short = True
         for draw in range(DRAWS if top <= DRAWS_UP_TO and m > 1 else 1):
             salt = mix(np.array([(seed * 64 + draw) * 4096 + g + 1], np.uint64))[0]
@@ -123,38 +132,48 @@ def keys_of(tokens: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
             np.add.at(content, place, mixed)
             share = np.minimum(count, 2 if near else 1)
             short &= bool(share.sum() < budget)
-            if g == own:
-                take = share
-            else:  # the cheapest budget: segments with the most shingles first
-                order = np.argsort(-count, kind="stable")
-                before = np.cumsum(share[order]) - share[order]
-                take = np.zeros(m, np.int64)
-                take[order] = np.where(before < budget, share[order], 0)
+            order = np.argsort(-count, kind="stable")
+            before = np.cumsum(share[order]) - share[order]
+            take = np.zeros(m, np.int64)
+            take[order] = np.where(before < budget, np.minimum(share[order], budget - before), 0)
             label = mix(np.arange(m, dtype=np.uint64) * _G[0] + salt)
-            used = np.flatnonzero(take)
-            out.append(mix(content[used] ^ label[used]) & ~np.uint64(1))
+            above = np.uint64(ABOVE if g < own else 0)
+            used = np.flatnonzero(take if g < own else count)
+            out.append((mix(content[used] ^ label[used]) << BITS) | np.where(take[used] > 0, above, np.uint64(PASSIVE)))
             if near:
-                drop = take[place] == 2
-                out.append(mix((content[place[drop]] - mixed[drop]) ^ label[place[drop]]) | np.uint64(1))
+                drop = (take[place] == 2) if g < own else (count[place] > 1)
+                keys = mix((content[place[drop]] - mixed[drop]) ^ label[place[drop]]) << BITS
+                out.append(keys | np.where(take[place[drop]] == 2, above, np.uint64(PASSIVE)) | np.uint64(DELETED))
         deficient |= short
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), deficient
+    return np.concatenate(out), deficient
 
 
 # ------------------------------------------------------------------ candidates
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, doc) rows: key, doc and pivot of those that share a key with an exact one; all rows, and which of them need not go on."""
+def _stars(keys: np.ndarray, docs: np.ndarray, crowd: int):
+    """Groups of equal keys, but for the bits, as stars about their first row.
+
+    Returns (document, center, keys they share) of the groups of at least ``crowd`` rows, and the rows
+    that must go on to meet other tasks' rows: of a crowd the first of each key and bits, else all.
+    Without a crowd only groups count in which one asks and one lacks no shingle.
+    """
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    name = keys | np.uint64(1)
+    name, bits = keys >> BITS, (keys & np.uint64(7)).astype(np.int64)
     new = np.empty(len(name), bool)
     new[:1], new[1:] = True, name[1:] != name[:-1]
     first = np.flatnonzero(new)
-    pivot = np.repeat(docs[first], np.diff(np.append(first, len(name))))  # an exact key sorts before a deletion's
-    exact = np.repeat((keys[first] & np.uint64(1)) == 0, np.diff(np.append(first, len(name))))
-    star = exact & (docs != pivot)
-    repeated = np.zeros(len(keys), bool)
-    repeated[1:] = (keys[1:] == keys[:-1]) & exact[1:]
-    return name[star], docs[star], pivot[star], (keys, docs, repeated)
+    size = np.diff(np.append(first, len(name)))
+    center = np.repeat(docs[first], size)
+    if crowd:
+        counts = size >= crowd
+    else:
+        counts = np.logical_or.reduceat((bits & PASSIVE) == 0, first) & np.logical_or.reduceat((bits & DELETED) == 0, first)
+    counts = np.repeat(counts, size)
+    onward = np.ones(len(keys), bool)
+    onward[1:] = keys[1:] != keys[:-1]
+    star = counts & (docs != center)
+    pair, shared = np.unique(np.stack([docs[star], center[star]]), axis=1, return_counts=True) if star.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    return pair[0], pair[1], shared, keys[onward | ~counts], docs[onward | ~counts]
 
 
 def _payload(*columns) -> bytes:
@@ -174,11 +193,10 @@ def _emit(seed: int, tasks: int):
             rows = []
             if held_keys:
                 # A key that many documents of this task share goes on once; the others are linked to its first here.
-                name, doc, pivot, (keys, docs, repeated) = _stars(np.concatenate(held_keys), np.concatenate(held_docs))
-                if len(name):
-                    rows.append((turn % tasks, PAIRS, _payload(name, doc, pivot)))
-                keys, docs = keys[~repeated], docs[~repeated]
-                task = ((mix(keys | np.uint64(1)) >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+                *pairs, keys, docs = _stars(np.concatenate(held_keys), np.concatenate(held_docs), CROWD)
+                if len(pairs[0]):
+                    rows.append((turn % tasks, PAIRS, _payload(*pairs)))
+                task = ((mix(keys >> BITS) >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(task, kind="stable")
                 keys, docs, task = keys[order], docs[order], task[order]
                 cut = np.searchsorted(task, np.arange(tasks + 1))
@@ -196,10 +214,10 @@ def _emit(seed: int, tasks: int):
                 doc = ids[row]
                 mixed = mix(tokens)
                 stats.append((doc, len(tokens), int(mixed.sum().view(np.int64)), int(mix(mixed ^ _G[2]).sum().view(np.int64))))
-                if len(tokens):
-                    keys, short = keys_of(tokens, seed)
-                    if short:
-                        deficient.append(doc)
+                keys, short = keys_of(tokens, seed)
+                if short:
+                    deficient.append(doc)
+                if len(keys):
                     held_keys.append(keys)
                     held_docs.append(np.full(len(keys), doc, np.int64))
                     held += len(keys)
@@ -212,7 +230,7 @@ def _emit(seed: int, tasks: int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's keys become pairs with each key's smallest document; all else passes through."""
+    """One task's keys become pairs with each key's first document; all else passes through."""
     keys, docs = [], []
 
     def rows(kind: int, columns: list) -> pa.RecordBatch:
@@ -229,42 +247,75 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 yield rows(kind, list(table.T))
     if keys:
-        name, doc, pivot, _ = _stars(np.concatenate(keys), np.concatenate(docs))
-        for i in range(0, len(name), 500_000):
-            yield rows(PAIRS, [name[i : i + 500_000].view(np.int64), doc[i : i + 500_000], pivot[i : i + 500_000]])
+        doc, center, shared, _, _ = _stars(np.concatenate(keys), np.concatenate(docs), 0)
+        for i in range(0, len(doc), 500_000):
+            yield rows(PAIRS, [c[i : i + 500_000] for c in (doc, center, shared)])
 
 
 # ------------------------------------------------------------------ the exact check
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {row: tokens.tobytes() for row, tokens in shingle_sets(batch.column(1))}
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[i] for i in range(batch.num_rows)], pa.binary())], names=["doc_id", "tokens"])
+        ids, found = batch.column(0), []
+        for row, tokens in shingle_sets(batch.column(1)):
+            found.append(tokens.view(np.int64))
+            if len(found) == 256 or row == batch.num_rows - 1:
+                flat = pa.array(np.concatenate(found))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.slice(row + 1 - len(found), len(found)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "tokens"])
+                found = []
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y)
-            similar = NUMERATOR * max(len(x), len(y)) <= DENOMINATOR * min(len(x), len(y))
-            if similar:
-                merged = np.concatenate([x, y])
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                similar = common * DENOMINATOR >= (both - common) * NUMERATOR
-            out.append((a.as_py(), b.as_py(), similar))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], names=["a", "b", "similar"])
-
-
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, similar) of pairs (a, b) of documents, by their whole sets."""
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = settle(rows.join(named, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "sets")
+def _sets_of(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, tokens) of some documents."""
+    return settle(rows.join(names, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of documents whose whole sets are similar."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    # Many documents meet one pivot: the pivot's set is attached last, and AQE splits a pivot with many partners.
-    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_check, "a long, b long, similar boolean"), "links")
+    # Many documents meet one center: the center's set is attached last, and AQE splits a center with many partners.
+    both = pairs.join(left, "a").join(right, "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return settle(both.where(common * DENOMINATOR >= (total - common) * NUMERATOR).select("a", "b"), "links")
+
+
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links (a, b) between the documents of each group that ask and the others, as a forest."""
+    group, asks = table.column("of").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+    doc, component = table.column("doc").to_numpy(), table.column("c").to_numpy()
+    column = table.column("tokens").combine_chunks()
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    order, out = np.argsort(group, kind="stable"), [(np.zeros(0, np.int64),) * 2]
+    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        a, b = rows[asks[rows]], rows[~asks[rows]]
+        if not len(a) or not len(b):
+            continue
+        size = (ends[rows + 1] - ends[rows]).astype(np.int64)
+        token, which = np.unique(np.concatenate([flat[ends[r] : ends[r + 1]] for r in rows]), return_inverse=True)
+        often = np.bincount(which) > 1
+        name = np.cumsum(often) - 1
+        at, keep = np.repeat(np.arange(len(rows)), size), often[which]
+        at, which = at[keep], name[which[keep]]
+        sorted_ = np.argsort(which, kind="stable")
+        at, which = at[sorted_], which[sorted_]
+        asking = asks[rows]
+        common = np.zeros((len(a), len(b)), np.float32)
+        row_of = np.where(asking, np.cumsum(asking) - 1, np.cumsum(~asking) - 1)
+        for k in range(0, int(often.sum()), 4096):
+            i, j = np.searchsorted(which, [k, k + 4096])
+            x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+            own = asking[at[i:j]]
+            x[row_of[at[i:j][own]], which[i:j][own] - k] = 1
+            y[row_of[at[i:j][~own]], which[i:j][~own] - k] = 1
+            common += x @ y.T
+        common = common.astype(np.int64)
+        total = size[asking][:, None] + size[~asking] - common
+        link = (common * DENOMINATOR >= total * NUMERATOR) & (component[a][:, None] != component[b])
+        i, j = np.nonzero(link)
+        if len(i):
+            out.append(_forest(doc[a[i]], doc[b[j]]))
+    return pa.table({"a": pa.array(np.concatenate([o[0] for o in out])), "b": pa.array(np.concatenate([o[1] for o in out]))})
 
 
 def _component(nodes: DataFrame, known: DataFrame, column: str, name: str) -> DataFrame:
@@ -296,27 +347,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stats = found.where(F.col("kind") == STATS).select(F.col("w").alias("doc_id"), F.col("x").alias("n_shingles"), F.col("y").alias("h1"), F.col("z").alias("h2"))
     classes = stats.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"))
     member = settle(stats.distinct().join(classes, ["n_shingles", "h1", "h2"]).where("first <> doc_id").select(F.col("doc_id").alias("node"), F.col("first").alias("component")), "classes")
-    tree = found.where(F.col("kind") == PAIRS).select(F.col("w").alias("key"), F.col("x").alias("doc"), F.col("y").alias("pivot"))
-    tree = settle(_component(_component(tree, member, "doc", "a"), member, "pivot", "b").select("key", "a", "b").where("a <> b").distinct(), "tree")
-
-    first = tree.select("a", "b").distinct()
-    checked = _verified(first, named)
-    known = components(checked.where("similar").select("a", "b"))
-
-    # Keys in which several components met: what their members have not been compared with.
-    open_pairs = _component(_component(checked.where("NOT similar"), known, "a", "ca"), known, "b", "cb").where("ca <> cb").select("a", "b")
-    keys = tree.join(open_pairs, ["a", "b"], "left_semi").select("key").distinct()
-    inside = tree.join(keys, "key", "left_semi")
-    members = _component(inside.select("key", F.col("a").alias("doc")).union(inside.select("key", F.col("b").alias("doc"))).distinct(), known, "doc", "c")
-    size = stats.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).dropDuplicates(["doc"])
-    members = settle(members.join(size, "doc"), "open")
-    left, right = members.select("key", F.col("doc").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), members.select("key", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    alike = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.greatest("na", "nb") * NUMERATOR <= F.least("na", "nb") * DENOMINATOR)
-    more = left.join(right, "key").where(alike).select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = settle(more, "more")
+    star = found.where(F.col("kind") == PAIRS).select(F.col("w").alias("doc"), F.col("x").alias("center"), F.col("y").alias("shared"))
+    star = _component(_component(star, member, "doc", "a"), member, "center", "b").where("a <> b")
+    star = settle(star.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "stars")
+    sets = _sets_of(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), named)
+    best = star.groupBy("a").agg(F.max(F.struct("shared", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
+    links = _similar_pairs(best, sets)
+    known = components(links)
+
+    # What meets in the keys of a component's centers, as far as it isn't connected yet.
+    checked = star.join(best.withColumn("checked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.col("checked").isNull().alias("open"))
+    reached = _component(_component(checked, known, "b", "of"), known, "a", "ca")
+    group = reached.select("of", F.col("a").alias("doc"), F.col("ca").alias("c"), "open").union(reached.select("of", F.col("b").alias("doc"), F.col("of").alias("c"), "open"))
+    group = settle(group.groupBy("of", "doc", "c").agg(F.max("open").alias("open")), "groups")
+    sizes = group.groupBy("of").agg(F.count(F.when(F.col("c") != F.col("of"), 1)).alias("outside"), F.count(F.lit(1)).alias("all"), F.max("open").alias("open"))
+    sizes = sizes.where("outside > 0 AND (open OR all > 2)")
+    sizes = sizes.select("of", F.ceil(F.col("outside") / MEET).cast("int").alias("is"), F.ceil(F.col("all") / MEET).cast("int").alias("js"))
+    few = (F.col("is") == 1) & (F.col("js") == 1)
+    sizes = sizes.withColumn("meet", F.when(few, F.pmod(F.xxhash64("of"), F.lit(16 * partitions(spark))) - (1 << 40)).otherwise(F.col("of")))
+    dealt = group.join(sizes, "of").withColumn("spread", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("int"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    ask = dealt.where("c <> of").withColumns({"asks": F.lit(True), "i": F.col("spread") % F.col("is"), "j": every("js")})
+    found_by = dealt.withColumns({"asks": F.lit(False), "j": F.col("spread") % F.col("js"), "i": every("is")})
+    grid = ask.unionByName(found_by).select("meet", "i", "j", "of", "doc", "c", "asks").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    more = settle(grid.groupBy("meet", "i", "j").applyInArrow(_meet, "a long, b long"), "more")
     if not more.isEmpty():
-        again = _verified(more, named).where("similar").select("a", "b")
-        known = components(checked.where("similar").select("a", "b").union(again))
+        known = components(links.union(more))
 
     own = _component(_component(stats, member, "doc_id", "first"), known, "first", "component_id").select("doc_id", "n_shingles", "component_id")
     nameless = rows.where("doc_id IS NULL").mapInArrow(_count, "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))

@@ -18,7 +18,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, partitions, slices, texts
+from .common import lower_ascii, new_folder, open_fs, partitions, slices, texts, word_hashes, words
 
 MAGIC = b"PWDAC\x00\x00\x01"
 BLOCK = 512
@@ -44,9 +44,10 @@ class WordEncoder:
     space and splits what is left into endings after an apostrophe, letters, single numbers and the rest.
 
     Nothing is joined across those pieces, so a text's ids are those of its pieces in order. In texts of
-    Latin letters pieces are found here: each new one is encoded once, many in one call; the last token of
-    a piece is a word end, which parts them again. Other texts go to the tokenizer whole. About ``most``
-    white-space-free chunks are remembered: when half as many are new, those not used since are forgotten.
+    Latin letters the pieces are found here. The white-space-free chunks of some megabytes of text are
+    told apart by 64-bit hashes of their bytes; each new one is cut into pieces, and new pieces are encoded
+    once, many in one call, parted again by the word end that each has. Other texts go to the tokenizer
+    whole. About ``most`` chunks are remembered: when half as many are new, those not used since go.
     """
 
     #: Texts that are encoded whole: odd white space, special tokens, characters that fold in other ways.
@@ -57,49 +58,70 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         self.pieces = Tokenizer(self.tokenizer.model)
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, old = self.known, self.older
-        new = [c for c in chunks if c not in old]
-        known.update({c: old[c] for c in chunks if c in old})
-        split = {c: self.PIECE.findall(c) for c in new if not c.isalpha()}
-        pieces = list({p for ps in split.values() for p in ps if p not in known}.union(c for c in new if c not in split))
+    def _learn(self, names: list[int], chunks: list[str]) -> None:
+        split = [[c] if c.isalpha() else self.PIECE.findall(c) for c in chunks]
+        pieces = list({p for ps in split for p in ps})
         lines = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
         ids = np.array([x for e in self.pieces.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
         raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         if len(ends) != len(pieces):
             raise ValueError("this tokenizer file doesn't end its pieces with word ends")
-        known.update({p: raw[i:j] for p, i, j in zip(pieces, [0, *ends], ends, strict=False)})
-        known.update({c: b"".join([known[p] for p in ps]) for c, ps in split.items()})
+        of = {p: raw[i:j] for p, i, j in zip(pieces, [0, *ends], ends, strict=False)}
+        self.known.update({n: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for n, ps in zip(names, split, strict=True)})
 
-    def many(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
-        """Ids of each text (None: empty), with the end id after them if given."""
-        tail = b"" if end is None else struct.pack("<I", end)
-        split = [None if t and self.WHOLE.search(t) else (t or "").lower().split() for t in texts]
+    def _ids_of(self, hashes: np.ndarray, data: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+        """Ids of distinct chunks."""
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
-        if new := {c for chunks in split if chunks for c in chunks if c not in self.known}:
-            self._learn(new)
-        known, out = self.known, []
-        for text, chunks in zip(texts, split, strict=True):
-            if chunks is None:
-                raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                raw = b"".join(map(known.__getitem__, chunks))
-            out.append(np.frombuffer(raw + tail, "<u4"))
-        return out
-
-    def column(self, column: pa.Array, end: int | None = None, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, ids) of a column's texts, about a megabyte of text at a time."""
-        _, offsets = texts(column)
+        known, older, names = self.known, self.older, hashes.tolist()
+        new = [k for k, n in enumerate(names) if n not in known]
+        known.update({names[k]: older[names[k]] for k in new if names[k] in older})
+        new = [k for k in new if names[k] not in known]
+        if new:
+            self._learn([names[k] for k in new], [data[starts[k] : ends[k]].decode().lower() for k in new])
+        return [known[n] for n in names]
+
+    def column(self, column: pa.Array, end: int | None = None, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of each text of a column (null: empty), with the end id after them if given."""
+        data, offsets = texts(column)
+        tail = np.array([] if end is None else [end], "<u4")
         for i, j in slices(offsets, most):
-            yield from enumerate(self.many(column.slice(i, j - i).to_pylist(), end), i)
+            own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            raw = own.tobytes()
+            doubt = np.unique(np.searchsorted(at, np.flatnonzero(_DOUBT[own]), "right") - 1).tolist()
+            whole = {k: text for k in doubt if self.WHOLE.search(text := raw[at[k] : at[k + 1]].decode())}
+            starts, ends, first = words(own, at)
+            if whole:
+                use = np.ones(len(starts), bool)
+                for k in whole:
+                    use[first[k] : first[k + 1]] = False
+                first = np.concatenate([[0], np.cumsum(use)])[first]
+                starts, ends = starts[use], ends[use]
+            hashes, one, which = np.unique(word_hashes(lower_ascii(own), starts, ends), return_index=True, return_inverse=True)
+            values = self._ids_of(hashes, raw, starts[one].tolist(), ends[one].tolist())
+            flat = np.frombuffer(b"".join(values), "<u4")
+            length = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            count, place = length[which], (np.cumsum(length) - length)[which]
+            after = np.concatenate([[0], np.cumsum(count)])
+            ids = flat[np.repeat(place - after[:-1], count) + np.arange(after[-1])]
+            cuts = after[first].tolist()
+            for k in range(j - i):
+                got = ids[cuts[k] : cuts[k + 1]] if k not in whole else np.array(self.tokenizer.encode(whole[k], add_special_tokens=False).ids, "<u4")
+                yield i + k, np.concatenate([got, tail])
+
+
+#: Bytes of characters that may make a text one that is encoded whole.
+_DOUBT = np.zeros(256, bool)
+_DOUBT[[*range(9), *range(14, 32), 0x3C, 0x7F, 0xC2, 0xC4, 0xC5, 0xC7, *range(0xC9, 256)]] = True
 
 
 @lru_cache(maxsize=4)
