@@ -253,21 +253,39 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # ------------------------------------------------------------------ the exact check
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, found = batch.column(0), []
-        for row, tokens in shingle_sets(batch.column(1)):
-            found.append(tokens.view(np.int64))
-            if len(found) == 256 or row == batch.num_rows - 1:
-                flat = pa.array(np.concatenate(found))
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.slice(row + 1 - len(found), len(found)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "tokens"])
-                found = []
+FILTER_BITS = 1 << 24
+
+
+def _sets(wanted):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
+            ids, found = batch.column(0), []
+            for row, tokens in shingle_sets(batch.column(1)):
+                found.append(tokens.view(np.int64))
+                if len(found) == 256 or row == batch.num_rows - 1:
+                    flat = pa.array(np.concatenate(found))
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([ids.slice(row + 1 - len(found), len(found)), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "tokens"])
+                    found = []
+
+    return sets
 
 
 def _sets_of(names: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc_id, tokens) of some documents."""
-    return settle(rows.join(names, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "sets")
+    """(doc_id, tokens) of some documents.
+
+    A bitmap of 2 MB, whatever the number of names, holds back most other documents where they are read,
+    so that texts need no shuffle; the sets are then joined with the names exactly.
+    """
+    spark = names.sparkSession
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
+    marks = names.select(place.alias("h")).groupBy(F.expr("h div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, h % 64)")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    wanted = spark.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool))
+    found = rows.select("doc_id", "text", place.alias("h")).mapInArrow(_sets(wanted), "doc_id long, tokens array<long>")
+    return settle(found.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,14 +299,14 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links (a, b) between the documents of each group that ask and the others, as a forest."""
-    group, asks = table.column("of").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+    """Links (a, b) between the documents of each group that ask and those that are heard, as a forest."""
+    group, asks, heard = (table.column(k).to_numpy(zero_copy_only=False) for k in ("of", "asks", "heard"))
     doc, component = table.column("doc").to_numpy(), table.column("c").to_numpy()
     column = table.column("tokens").combine_chunks()
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
     order, out = np.argsort(group, kind="stable"), [(np.zeros(0, np.int64),) * 2]
     for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        a, b = rows[asks[rows]], rows[~asks[rows]]
+        a, b = rows[asks[rows]], rows[heard[rows]]
         if not len(a) or not len(b):
             continue
         size = (ends[rows + 1] - ends[rows]).astype(np.int64)
@@ -299,18 +317,14 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at, which = at[keep], name[which[keep]]
         sorted_ = np.argsort(which, kind="stable")
         at, which = at[sorted_], which[sorted_]
-        asking = asks[rows]
         common = np.zeros((len(a), len(b)), np.float32)
-        row_of = np.where(asking, np.cumsum(asking) - 1, np.cumsum(~asking) - 1)
         for k in range(0, int(often.sum()), 4096):
             i, j = np.searchsorted(which, [k, k + 4096])
-            x, y = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
-            own = asking[at[i:j]]
-            x[row_of[at[i:j][own]], which[i:j][own] - k] = 1
-            y[row_of[at[i:j][~own]], which[i:j][~own] - k] = 1
-            common += x @ y.T
+            x = np.zeros((len(rows), 4096), np.float32)
+            x[at[i:j], which[i:j] - k] = 1
+            common += x[asks[rows]] @ x[heard[rows]].T
         common = common.astype(np.int64)
-        total = size[asking][:, None] + size[~asking] - common
+        total = size[asks[rows]][:, None] + size[heard[rows]] - common
         link = (common * DENOMINATOR >= total * NUMERATOR) & (component[a][:, None] != component[b])
         i, j = np.nonzero(link)
         if len(i):
@@ -367,9 +381,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = sizes.withColumn("meet", F.when(few, F.pmod(F.xxhash64("of"), F.lit(16 * partitions(spark))) - (1 << 40)).otherwise(F.col("of")))
     dealt = group.join(sizes, "of").withColumn("spread", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("int"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    ask = dealt.where("c <> of").withColumns({"asks": F.lit(True), "i": F.col("spread") % F.col("is"), "j": every("js")})
-    found_by = dealt.withColumns({"asks": F.lit(False), "j": F.col("spread") % F.col("js"), "i": every("is")})
-    grid = ask.unionByName(found_by).select("meet", "i", "j", "of", "doc", "c", "asks").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    small = dealt.where(few).withColumns({"asks": F.col("c") != F.col("of"), "heard": F.lit(True), "i": F.lit(0), "j": F.lit(0)})
+    ask = dealt.where(~few).where("c <> of").withColumns({"asks": F.lit(True), "heard": F.lit(False), "i": F.col("spread") % F.col("is"), "j": every("js")})
+    heard = dealt.where(~few).withColumns({"asks": F.lit(False), "heard": F.lit(True), "j": F.col("spread") % F.col("js"), "i": every("is")})
+    grid = small.unionByName(ask).unionByName(heard).select("meet", "i", "j", "of", "doc", "c", "asks", "heard").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
     more = settle(grid.groupBy("meet", "i", "j").applyInArrow(_meet, "a long, b long"), "more")
     if not more.isEmpty():
         known = components(links.union(more))

@@ -54,7 +54,7 @@ class WordEncoder:
     WHOLE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u0130\u0149\u01f0\u0250-\U0010ffff]|<\\|")
     PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
