@@ -8,8 +8,9 @@ allowed, then any similar set matches it in some segment that got its share. So
 * in its own band a key for each segment that isn't empty, and in bands of small sets also one for each
   segment less one shingle (the one-deletion neighbourhood); with these it can be found,
 * and asks for partners with just those keys, there and in the band below, that the cheapest budget of
-  H + 1 takes: it goes to the segments with the most shingles, since fewer documents share them. Short
-  segments, which hold a passage that many documents quote or nothing at all, are left out.
+  H + 1 takes. A segment's cost falls with the rare shingles in it; which are common is estimated from a
+  bounded sample of documents. So segments that hold nothing but a passage many documents quote are left
+  out where the budget allows. The estimate decides on cost only: any budget of H + 1 finds every link.
 
 A document whose segments can't raise the budget ("deficient") is covered by further drawings of the
 partition in tiny bands, and elsewhere, where the chance is below 1e-11 a document, makes the whole join
@@ -109,12 +110,22 @@ def segments(g: int) -> int:
 DELETED, PASSIVE, ABOVE, BITS = 1, 2, 4, np.uint64(3)
 
 
-def keys_of(tokens: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
+def _allocate(share: np.ndarray, rare: np.ndarray, budget: int) -> np.ndarray:
+    """How much of the budget each segment gets: 1 costs as its rare shingles, 2 as one shingle fewer."""
+    units = np.concatenate([np.flatnonzero(share > 0), np.flatnonzero(share > 1)])
+    second = np.arange(len(units)) >= int((share > 0).sum())
+    worth = 2 * rare[units] + 1 - 3 * second
+    return np.bincount(units[np.argsort(-worth, kind="stable")[:budget]], minlength=len(share))
+
+
+def keys_of(tokens: np.ndarray, seed: int, common: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Keys of one set, with their bits, and whether it is deficient."""
     out, deficient, size = [], False, len(tokens)
     if size < NUMERATOR:
         return np.zeros(0, np.uint64), False  # only equal sets are similar
-    own = band(size)
+    own, is_rare = band(size), np.ones(size, bool)
+    if common is not None and len(common):
+        is_rare = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
     for g in (own, own - 1):
         top = TOPS[g] if g >= 0 else 0
         most = min(size, top)
@@ -132,10 +143,7 @@ def keys_of(tokens: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
             np.add.at(content, place, mixed)
             share = np.minimum(count, 2 if near else 1)
             short &= bool(share.sum() < budget)
-            order = np.argsort(-count, kind="stable")
-            before = np.cumsum(share[order]) - share[order]
-            take = np.zeros(m, np.int64)
-            take[order] = np.where(before < budget, np.minimum(share[order], budget - before), 0)
+            take = _allocate(share, np.bincount(place[is_rare], minlength=m), budget)
             label = mix(np.arange(m, dtype=np.uint64) * _G[0] + salt)
             above = np.uint64(ABOVE if g < own else 0)
             used = np.flatnonzero(take if g < own else count)
@@ -176,6 +184,25 @@ def _stars(keys: np.ndarray, docs: np.ndarray, crowd: int):
     return pair[0], pair[1], shared, keys[onward | ~counts], docs[onward | ~counts]
 
 
+SAMPLE, COMMON = 5000, 0.002  # documents that tell common shingles, and the share of them that holds such a one
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [t for _, t in shingle_sets(batch.column(1))]
+        token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+
+def _common(rows: DataFrame, documents: int) -> np.ndarray:
+    """Shingles that many documents hold, sorted, from about 5,000 documents: at most their number of shingles over 10."""
+    every = max(1, documents // SAMPLE)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    least = max(10, int(COMMON * documents / every))
+    counts = sample.mapInArrow(_shingle_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _payload(*columns) -> bytes:
     return np.stack([np.asarray(c).view(np.int64) if np.asarray(c).dtype == np.uint64 else np.asarray(c, np.int64) for c in columns], axis=1).tobytes()
 
@@ -184,7 +211,7 @@ KEYS, PAIRS, STATS, DEFICIENT = 0, 1, 2, 3
 _COLUMNS = {KEYS: 2, PAIRS: 3, STATS: 4, DEFICIENT: 1}
 
 
-def _emit(seed: int, tasks: int):
+def _emit(seed: int, tasks: int, common):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_docs, held, stats, deficient, turn = [], [], 0, [], [], 0
 
@@ -214,7 +241,7 @@ def _emit(seed: int, tasks: int):
                 doc = ids[row]
                 mixed = mix(tokens)
                 stats.append((doc, len(tokens), int(mixed.sum().view(np.int64)), int(mix(mixed ^ _G[2]).sum().view(np.int64))))
-                keys, short = keys_of(tokens, seed)
+                keys, short = keys_of(tokens, seed, common.value)
                 if short:
                     deficient.append(doc)
                 if len(keys):
@@ -349,10 +376,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = rows.where("doc_id IS NOT NULL")
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(partitions(spark), math.ceil(volume / 12 / KEYS_PER_TASK))
+    volume, documents = named.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    tasks = max(partitions(spark), math.ceil((volume or 0) / 12 / KEYS_PER_TASK))
+    common = spark.sparkContext.broadcast(_common(named, documents))
     for seed in range(8):
-        sent = named.mapInArrow(_emit(seed, tasks), "task int, kind int, payload binary")
+        sent = named.mapInArrow(_emit(seed, tasks, common), "task int, kind int, payload binary")
         found = settle(sent.repartitionById(tasks, F.col("task")).mapInArrow(_gather, "kind int, w long, x long, y long, z long"), "candidates")
         if found.where(F.col("kind") == DEFICIENT).isEmpty():
             break
@@ -362,8 +390,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = stats.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"))
     member = settle(stats.distinct().join(classes, ["n_shingles", "h1", "h2"]).where("first <> doc_id").select(F.col("doc_id").alias("node"), F.col("first").alias("component")), "classes")
     star = found.where(F.col("kind") == PAIRS).select(F.col("w").alias("doc"), F.col("x").alias("center"), F.col("y").alias("shared"))
+    star = star.groupBy("doc", "center").agg(F.sum("shared").alias("shared"))
     star = _component(_component(star, member, "doc", "a"), member, "center", "b").where("a <> b")
-    star = settle(star.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "stars")
+    star = settle(star.groupBy("a", "b").agg(F.max("shared").alias("shared")), "stars")
     sets = _sets_of(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), named)
     best = star.groupBy("a").agg(F.max(F.struct("shared", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     links = _similar_pairs(best, sets)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, ngram_join, packing, pq_dedup, repetition, token_file, warc_zip
+from . import byte_bpe, html_wrapper, license_scan, ngram_join, packing, pii, pq_dedup, repetition, token_file, warc_zip
 from .oracle import ORACLE_SQL  # noqa: F401
 
+#: The key of the surrogates; a deployment passes its own secret.
+PII_KEY = b"pipewright example key"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -36,6 +38,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -48,4 +58,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pq_dedup, op2_repetition, op3_token_files, op4_license_scan, op5_byte_bpe, op8_warc_zip, op9_best_fit_packing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pq_dedup, op2_repetition, op3_token_files, op4_license_scan, op5_byte_bpe, op6_html_wrapper, op7_pii_surrogates, op8_warc_zip, op9_best_fit_packing, op10_ngram_join)}
