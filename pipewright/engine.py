@@ -13,7 +13,7 @@ from .plans.lexer import pipe_mode
 from .plans.parser import VERBS, parse
 from .plans.planner import plan
 from .sources import Catalog, scan
-from .sources.embedded import outside_quotes
+from .sources.embedded import SYNTAX_FUNCTIONS, outside_quotes, tell_syntax
 
 SETTING = "pipewright.pipeSyntax"
 _VERB = "|".join(sorted(VERBS))
@@ -78,6 +78,8 @@ class Engine:
             if ";" in outside_quotes(body):
                 raise ParseError("one statement at a time")
             return self.pipe(body)
+        if any(f in text.lower() for f in SYNTAX_FUNCTIONS):
+            body = text = tell_syntax(body, self.pipe_syntax)
         segments = scan(body)
         if not segments:
             return self.spark.sql(text)

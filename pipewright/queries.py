@@ -40,7 +40,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "filter_window": ("customer %>% group_by(c_nationkey) %>% filter(rank(c_acctbal) <= 2) %>% select(c_custkey, c_nationkey)", "SELECT c_custkey, c_nationkey FROM customer QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) <= 2"),
     "mutate_arith": ("lineitem %>% mutate(rev = l_extendedprice * (1 - l_discount)) %>% select(l_orderkey, l_linenumber, rev)", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS rev FROM lineitem"),
     "mutate_overwrite": ("nation %>% mutate(n_nationkey = n_nationkey * 2 + 1)", "SELECT n_nationkey * 2 + 1 AS n_nationkey, n_name, n_regionkey FROM nation"),
-    "mutate_chain": ("lineitem %>% mutate(rev = l_extendedprice * (1 - l_discount), tax = rev * l_tax) %>% select(l_orderkey, l_linenumber, tax = round(tax, 4))", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * l_tax, 4) AS tax FROM lineitem"),
+    "mutate_chain": ("lineitem %>% mutate(rev = l_extendedprice * (1 - l_discount), tax = rev * l_tax) %>% select(l_orderkey, l_linenumber, tax)", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * l_tax AS tax FROM lineitem"),
     "mutate_divide": ("part %>% select(p_partkey, q = p_retailprice / (p_size - 10), z = (p_size - p_size) / (p_size - p_size))", "SELECT p_partkey, CASE WHEN p_size = 10 THEN 'inf'::DOUBLE ELSE p_retailprice / (p_size - 10) END AS q, 'nan'::DOUBLE AS z FROM part"),
     "mutate_math": (
         "part %>% select(p_partkey, a = abs(p_size - 25), r = round(p_retailprice), r2 = round(p_retailprice / 7, 2), f = floor(p_retailprice), c1 = ceiling(p_retailprice), c2 = ceil(p_retailprice), s = round(sqrt(p_size), 6), g = sign(p_size - 25), e = round(exp(p_size / 10), 6), l = round(log(p_size), 6), lb = round(log(p_size, base = 2), 6), l10 = round(log10(p_size), 6), m = mod(p_size, 7))",

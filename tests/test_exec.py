@@ -188,6 +188,8 @@ def test_pipe_syntax(spark):
     with pytest.raises(PipelineError):
         _ = e.pipe_syntax
     assert e.sql("SELECT 1").first()[0] == 1
+    e.pipe_syntax = "native"
+    assert tuple(e.sql("SELECT pipe_syntax(), 'pipe_syntax()'").first()) == ("native", "pipe_syntax()")
     spark.conf.unset("pipewright.pipeSyntax")
 
 
