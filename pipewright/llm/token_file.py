@@ -212,8 +212,8 @@ class Shard:
 def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode all documents and write shards in ascending id order; one row per shard (shard, path, documents, tokens).
 
-    Rows are dealt by range of id and sorted inside each task, so a hot source plays no part. A task
-    writes under a name of its own attempt and renames, so a repeated attempt is harmless. Null text is
+    Rows are dealt by range of id and sorted inside each task, so a hot source plays no part. Each
+    attempt of a task writes files of its own, and only those of the attempt that succeeds are listed. Null text is
     empty; rows with a repeated id stay, in unspecified order among themselves; null ids come first.
     An empty table gives no shards. Other columns are not read.
     """
@@ -227,11 +227,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, doc_ids, counts, n, step
-            final, own = f"{root}/part-{part:06d}-{step:04d}.dac", f"{root}/.{uuid.uuid4().hex}"
-            with filesystem.open_output_stream(own) as out:
+            path = f"{root}/part-{part:06d}-{step:04d}-{uuid.uuid4().hex}.dac"
+            with filesystem.open_output_stream(path) as out:
                 write_shard(out, doc_ids, counts, np.concatenate(ids))
-            filesystem.move(own, final)
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([part * 10_000 + step], pa.int64()), "path": [final], "documents": pa.array([len(doc_ids)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([part * 10_000 + step], pa.int64()), "path": [path], "documents": pa.array([len(doc_ids)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
             ids, doc_ids, counts, n, step = [], [], [], 0, step + 1
             return row
 

@@ -159,13 +159,12 @@ def _writer(uri: str):
 
         def flush() -> pa.RecordBatch:
             nonlocal records, lines, place, step
-            final, own = f"{root}/part-{part:06d}-{step:04d}.wacz", f"{root}/.{uuid.uuid4().hex}"
+            path = f"{root}/part-{part:06d}-{step:04d}-{uuid.uuid4().hex}.wacz"
             note = json.dumps({"profile": "data-package", "resources": [{"path": DATA, "bytes": place}, {"path": INDEX}]}).encode()
-            with filesystem.open_output_stream(own) as out:
+            with filesystem.open_output_stream(path) as out:
                 write_zip(out, [(DATA, records), (INDEX, ["".join(lines).encode()]), (PACKAGE, [note])], zip64=step % 2 == 1)
-            filesystem.move(own, final)
             n, records, lines, place, step = len(records), [], [], 0, step + 1
-            return pa.RecordBatch.from_pydict({"path": [final], "records": pa.array([n], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
         for batch in batches:
             _, offsets = texts(batch.column(2))
@@ -206,7 +205,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     others are revisits of it. Payloads are told apart by SHA-256 in the JVM; a payload many pages share
     is summed up before the shuffle, and only digests and ids are shuffled. Null html is an empty payload;
     a null url is left out; a page of null id is a response. Rows repeated with one id are alike: all
-    responses, or all revisits. Other columns are not read.
+    responses, or all revisits. Each attempt of a task writes files of its own, and only those of the
+    attempt that succeeds are listed. Other columns are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
