@@ -36,7 +36,8 @@ bsd-3-clause 85 bsd: bsd (3|three) clause (license|licence)?
 bsd-3-clause 82 bsd: (new|modified|revised) bsd (license|licence)
 bsd-2-clause 85 bsd: (2|two) clause bsd (license|licence)?
 bsd-2-clause 85 bsd: bsd (2|two) clause (license|licence)?
-bsd-2-clause 82 bsd: (simplified|freebsd) bsd? (license|licence)
+bsd-2-clause 82 bsd: simplified bsd (license|licence)
+bsd-2-clause 82 freebsd: freebsd (license|licence)
 0bsd 85 bsd: zero clause bsd (license|licence)?
 bsd 70 redistribution: redistribution and use in source and binary forms with or without modification are permitted
 bsd 50 bsd: bsd style? (license|licence)
@@ -195,7 +196,7 @@ proprietary 70 unauthorized: unauthorized (copying|reproduction|distribution) @8
 proprietary 60 permission: (may|must) not be (reproduced|copied|distributed) @10 without @6 permission
 reserved 50 reserved: all rights reserved
 reserved 55 reserved: copyright @10 all rights reserved
-reserved 40 rights: tous droits réservés
+reserved 40 droits: tous droits réservés
 reserved 40 rechte: alle rechte vorbehalten
 reserved 40 derechos: todos los derechos reservados
 copyright 30 copyright: copyright (c)? (19|20)[0-9][0-9]
@@ -242,5 +243,23 @@ def rules() -> list[tuple[str, int, str, str]]:
 
 
 RULES = rules()
+_ROOTS = ("licen", " copyright ", " spdx ", " rights ", " gpl ", " public ", " permission ", " creative ", " cc ")
+
+
+def _needs(pattern: str, root: str) -> bool:
+    """Whether every match of a pattern holds a root: all spellings of some word that can't be missing do."""
+    fixed = [w for w in pattern.split() if w[-1] != "?" and w[0] != "@"]
+    return any(all(root in f" {spelling} " for spelling in w.strip("()").split("|")) for w in fixed)
+
+
+def _roots() -> list[str]:
+    out = list(_ROOTS)
+    for head, _, pattern in (line.partition(": ") for line in NOTICES.strip().splitlines()):
+        if not any(_needs(pattern, r) for r in out):
+            keyword = head.split()[2]
+            out.append(f" {keyword} " if _needs(pattern, f" {keyword} ") else keyword)
+    return out
+
+
 #: Every rule's matches hold one of these; a text without any is not looked at further.
-ROOTS = ("licen", "copyright", "spdx", " rights ", " rechte ", " derechos ", "gpl", " domain ", "permission", "redistribution", "advertising", "endorse", " cc ", "cc0", "creative", "proprietary", "unauthorized", "wtfpl", " perl ", "cecill", " evil ", "mpl ", "origin", " bsd ", " gnu ", " commons ")
+ROOTS = _roots()
