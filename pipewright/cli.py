@@ -10,14 +10,27 @@ import re
 import sys
 import time
 
+from . import __version__
 from .emit import to_sql
-from .errors import ArgumentError, LexError, LimitError, ParseError, PipelineError, UnsupportedError
-from .plans.lexer import pipe_mode
+from .emit.dialects import dialect
+from .errors import LexError, LimitError, ParseError, PipelineError
+from .plans.lexer import pipe_mode, tokenize
 from .plans.parser import parse
 from .validate import validate
 
 #: FIXED VALUES: exit codes.
-OK, GENERAL, USAGE, READ, PARSE, UNSUPPORTED, WRITE, INVALID = 0, 1, 2, 3, 4, 5, 6, 7
+SUCCESS = 0
+GENERAL_ERROR = 1
+INVALID_ARGUMENTS = 2
+IO_ERROR = 3
+VALIDATION_ERROR = 4
+TRANSPILATION_ERROR = 5
+CONFIG_ERROR = 6
+PERMISSION_ERROR = 7
+SYSTEM_ERROR = 8
+NETWORK_ERROR = 9
+TIMEOUT_ERROR = 10
+INTERNAL_ERROR = 11
 MOST_INPUT = 10 << 20
 
 
@@ -27,9 +40,11 @@ def one_line(sql: str) -> str:
 
 
 def formatted(sql: str, style: str) -> str:
-    if style == "pretty":
-        return re.sub(r"^(SELECT) (.*)$", lambda m: m[1] + "\n  " + m[2].replace(", ", ",\n  "), sql, flags=re.MULTILINE)
-    return re.sub(r"\s*([(),=<>+*/-])\s*", r"\1", one_line(sql)) if style == "compact" and "'" not in sql else one_line(sql)
+    """``pretty``: a line for each clause and condition; else one line."""
+    if style != "pretty":
+        return one_line(sql)
+    parts = re.split(r"('(?:[^']|'')*')", "\n".join(map(one_line, sql.split("\n"))))
+    return "".join(p if p[:1] == "'" else re.sub(r" (AND|OR) ", r"\n\1 ", p) for p in parts)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,31 +68,33 @@ def main(argv: list[str] | None = None) -> int:
     began = time.perf_counter()
     try:
         text = args.text if args.text is not None else open(args.input, encoding="utf-8").read() if args.input else sys.stdin.read(MOST_INPUT + 1)
+    except PermissionError as e:
+        return _say(f"can't read the input: {e}", PERMISSION_ERROR)
     except (OSError, UnicodeDecodeError) as e:
-        print(f"can't read the input: {e}", file=sys.stderr)
-        return READ
+        return _say(f"can't read the input: {e}", IO_ERROR)
     text = text.strip()
     if not text or len(text) > MOST_INPUT:
-        print("the input is empty" if not text else "the input is too large", file=sys.stderr)
-        return READ
+        return _say("the input is empty" if not text else "the input is too large", IO_ERROR)
     try:
         mode = pipe_mode(args.pipe_syntax)
+        if args.dialect.lower() not in ("spark", "sparksql"):
+            dialect(args.dialect)
+    except PipelineError as e:
+        return _say(str(e), CONFIG_ERROR)
+    try:
         if args.validate_only:
             report = validate(text, mode)
             print(json.dumps(dataclasses.asdict(report), indent=2) if args.style == "json" else ("valid" if report.valid else "invalid: " + "; ".join(report.problems)))
-            return OK if report.valid else INVALID
+            return SUCCESS if report.valid else VALIDATION_ERROR
         tree = parse(text, mode)
+        parsed = time.perf_counter()
         if args.debug:
             print(tree, file=sys.stderr)
         sql = to_sql(tree, args.dialect)
-    except (LexError, ParseError, LimitError) as e:
-        return _failed(e, args, PARSE)
-    except (UnsupportedError, ArgumentError) as e:
-        return _failed(e, args, UNSUPPORTED)
     except PipelineError as e:
-        return _failed(e, args, GENERAL)
+        return _failed(e, args, text, began)
     if args.style == "json":
-        out = json.dumps({"success": True, "sql": sql, "dialect": args.dialect, "metadata": {"input_characters": len(text), "total_time_us": round(1e6 * (time.perf_counter() - began))}}, indent=2)
+        out = json.dumps({"success": True, "sql": sql, "error": None, "metadata": _metadata(args, text, began, parsed, tree, sql, mode)}, indent=2)
     else:
         out = formatted(sql, args.style or "default")
     try:
@@ -86,20 +103,48 @@ def main(argv: list[str] | None = None) -> int:
                 file.write(out + "\n")
         else:
             print(out)
+    except PermissionError as e:
+        return _say(f"can't write the output: {e}", PERMISSION_ERROR)
     except OSError as e:
-        print(f"can't write the output: {e}", file=sys.stderr)
-        return WRITE
+        return _say(f"can't write the output: {e}", IO_ERROR)
     if args.verbose:
         print(f"{len(tree.verbs)} verbs, {1e3 * (time.perf_counter() - began):.1f} ms", file=sys.stderr)
-    return OK
+    return SUCCESS
+
+
+def _say(message: str, code: int) -> int:
+    print(message, file=sys.stderr)
+    return code
 
 
-def _failed(e: PipelineError, args, code: int) -> int:
+def _metadata(args, text: str, began: float, parsed: float, tree=None, sql: str = "", mode: str = "magrittr") -> dict:
+    now = time.perf_counter()
+    source = ("text", "text") if args.text is not None else ("file", args.input) if args.input else ("stdin", "stdin")
+    return {
+        "timestamp": int(time.time()),
+        "dialect": args.dialect,
+        "stats": {
+            "parse_time_us": round(1e6 * (parsed - began)),
+            "generation_time_us": round(1e6 * (now - parsed)),
+            "total_time_us": round(1e6 * (now - began)),
+            "token_count": len(tokenize(text.rstrip(";"), mode)) - 1 if tree else 0,
+            "ast_node_count": sum(1 for _ in tree.walk()) if tree else 0,
+            "input_size_bytes": len(text.encode()),
+            "output_size_bytes": len(sql.encode()),
+        },
+        "input_info": {"source_type": source[0], "source_id": source[1], "size_bytes": len(text.encode()), "line_count": text.count("\n") + 1},
+        "version": __version__,
+    }
+
+
+def _failed(e: PipelineError, args, text: str, began: float) -> int:
     if args.style == "json":
-        print(json.dumps({"success": False, "error": {"code": e.code, "message": e.message, "at": e.at, "hint": e.hint}}, indent=2))
+        kind = "lex" if isinstance(e, LexError) else "parse" if isinstance(e, ParseError) else "generation"
+        error = {"error_type": kind, "message": e.message, "position": e.at, "suggestions": [e.hint] if e.hint else []}
+        print(json.dumps({"success": False, "sql": None, "error": error, "metadata": _metadata(args, text, began, time.perf_counter())}, indent=2))
     else:
         print(str(e), file=sys.stderr)
-    return code
+    return VALIDATION_ERROR if isinstance(e, (LexError, ParseError, LimitError)) else TRANSPILATION_ERROR
 
 
 if __name__ == "__main__":
