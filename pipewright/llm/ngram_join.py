@@ -400,7 +400,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # What meets in the keys of a component's centers, as far as it isn't connected yet.
     checked = star.join(best.withColumn("checked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.col("checked").isNull().alias("open"))
-    reached = _component(_component(checked, known, "b", "of"), known, "a", "ca")
+    reached = settle(_component(_component(checked, known, "b", "of"), known, "a", "ca"), "reached")
     group = reached.select("of", F.col("a").alias("doc"), F.col("ca").alias("c"), "open").union(reached.select("of", F.col("b").alias("doc"), F.col("of").alias("c"), "open"))
     group = settle(group.groupBy("of", "doc", "c").agg(F.max("open").alias("open")), "groups")
     sizes = group.groupBy("of").agg(F.count(F.when(F.col("c") != F.col("of"), 1)).alias("outside"), F.count(F.lit(1)).alias("all"), F.max("open").alias("open"))
