@@ -78,19 +78,25 @@ class WordEncoder:
         of = {p: raw[i:j] for p, i, j in zip(pieces, [0, *ends], ends, strict=False)}
         self.known.update({n: of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for n, ps in zip(names, split, strict=True)})
 
-    def _ids_of(self, hashes: np.ndarray, data: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    def _ids_of(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of distinct chunks."""
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
-        known, older, names = self.known, self.older, hashes.tolist()
-        new = [k for k, n in enumerate(names) if n not in known]
-        known.update({names[k]: older[names[k]] for k in new if names[k] in older})
-        new = [k for k in new if names[k] not in known]
+        names = hashes.tolist()
+        values = list(map(self.known.get, names))
+        gone = [k for k, v in enumerate(values) if v is None]
+        if not gone:
+            return values
+        older = list(map(self.older.get, [names[k] for k in gone]))
+        self.known.update({names[k]: v for k, v in zip(gone, older, strict=True) if v is not None})
+        new = [k for k, v in zip(gone, older, strict=True) if v is None]
         if new:
-            self._learn([names[k] for k in new], [data[starts[k] : ends[k]].decode().lower() for k in new])
-        return [known[n] for n in names]
+            self._learn([names[k] for k in new], [data[i:j].decode().lower() for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        for k, v in zip(gone, map(self.known.get, [names[k] for k in gone]), strict=True):
+            values[k] = v
+        return values
 
-    def column(self, column: pa.Array, end: int | None = None, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def column(self, column: pa.Array, end: int | None = None, most: int = 3 << 20) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each text of a column (null: empty), with the end id after them if given."""
         data, offsets = texts(column)
         tail = np.array([] if end is None else [end], "<u4")
@@ -107,7 +113,7 @@ class WordEncoder:
                 first = np.concatenate([[0], np.cumsum(use)])[first]
                 starts, ends = starts[use], ends[use]
             hashes, one, which = np.unique(word_hashes(lower_ascii(own), starts, ends), return_index=True, return_inverse=True)
-            values = self._ids_of(hashes, raw, starts[one].tolist(), ends[one].tolist())
+            values = self._ids_of(hashes, raw, starts[one], ends[one])
             flat = np.frombuffer(b"".join(values), "<u4")
             length = np.fromiter(map(len, values), np.int64, len(values)) // 4
             count, place = length[which], (np.cumsum(length) - length)[which]
