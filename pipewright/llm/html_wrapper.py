@@ -27,6 +27,7 @@ from .common import settle, slices, texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+PLAIN = frozenset("a abbr b bdi bdo big cite code del dfn em font i kbd label mark q s samp small strike strong sub sup time tt u var".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "option", "optgroup"}
 #: An element that begins ends an open one of these, up to an element of the second row.
 ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table thead tbody tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("thead tbody tr td th", "table"), "body": ("head", "html")}
@@ -35,7 +36,7 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 OTHER = frozenset("nav footer aside form button select menu dialog head search input label".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 OTHER_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion
+    """ad ads adv advert adverts advertisement advertising adsense adsbygoogle outbrain taboola banner banners sponsor sponsored promo promotion
     menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside
     footer foot masthead topbar toolbar skip cookie cookies consent gdpr notice notices notification alert popup
     modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist respond reply replies disqus
@@ -151,11 +152,9 @@ class Page:
             if tag == "a":
                 links += 1
             if tag not in BLOCK:
-                _, other, _, _ = _marks(tag, m[3])
-                if other and tag not in VOID and tag not in ("a", "b", "i", "em", "strong", "label"):
-                    # An inline element that marks other text is a box of its own.
+                if tag not in VOID and tag not in PLAIN and _marks(tag, m[3])[1]:
+                    # An inline element that marks other text goes with all it holds.
                     current = None
-                    stack.append((tag, stack[-1][1], True, stack[-1][3], stack[-1][4]))
                     end = re.compile(rf"</?{re.escape(tag)}\b[^>]*>", re.IGNORECASE)
                     depth, place = 1, at
                     for e in end.finditer(text, at):
@@ -163,7 +162,6 @@ class Page:
                         if not depth:
                             place = e.end()
                             break
-                    stack.pop()
                     at = place
                 continue
             current, links = None, 0

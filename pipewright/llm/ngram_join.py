@@ -39,7 +39,7 @@ from .components import _forest, components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5  # words of a shingle; similarity 4/5
 DELETIONS_UP_TO = 256  # bands of sets up to this size have one-deletion neighbourhoods
 DRAWS_UP_TO, DRAWS = 40, 4  # bands of sets up to this size are partitioned so many times
-KEYS_AT_ONCE = 700_000
+KEYS_AT_ONCE = 300_000
 MEET = 1000  # documents of a block, about
 CROWD = 64  # documents of one key in one task that are linked before the shuffle
 KEYS_PER_TASK = 3_000_000
@@ -51,7 +51,7 @@ _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text; a text of fewer words has its whole sequence as one."""
     data, offsets = texts(column)
-    for i, j in slices(offsets, 4 << 20):
+    for i, j in slices(offsets, 1 << 20):
         own, at = lower_ascii(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
         starts, ends, first = words(own, at)
         h = word_hashes(own, starts, ends)
