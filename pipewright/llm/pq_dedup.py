@@ -1,12 +1,13 @@
 """Near-duplicate vectors by product quantisation (operator 1).
 
-Vectors are dealt to inverted lists by their nearest coarse centroid; what is left of them is coded by
-the nearest codeword in each of some subspaces, and the length of what the code misses is kept. A query
-looks into its own list and into each list whose cell it comes near enough to: a vector within reach r
-of it may lie in a cell only if the wall to that cell is at most r away, and ``REACH`` of r suffices
-unless the difference points straight at the wall. There the squared distance to every code is the sum
-of one table entry for each subspace. That distance less the code's miss is a lower bound, so no vector
-within reach is lost; those that pass get the exact cosine.
+Vectors are dealt to inverted lists: each half of a vector has coarse centroids of its own, and a list
+is a pair of these, so that few centroids make many lists. What is left of a vector is coded by the
+nearest codeword in each of some subspaces, and the length of what the code misses is kept. A query
+looks into its own list and into each whose cell it comes near enough to: a vector within reach r of it
+may lie in a cell only if the walls to that cell are, over both halves, at most r away, and ``REACH`` of
+r suffices unless the difference points straight at the walls. There the squared distance to every code
+is the sum of one table entry for each subspace. That distance less the code's miss is a lower bound, so
+no vector within reach is lost; those that pass get the exact cosine.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .components import _forest, components
 
 SIMILARITY = 0.95
 REACH = 0.6  # of r that a wall may be away
-SAMPLE, MOST_LISTS = 65_536, 4096  # vectors that the quantisers are fitted on; coarse centroids
+SAMPLE, MOST_COARSE = 65_536, 4096  # vectors that the quantisers are fitted on; coarse centroids of a half
 CODEWORDS, SUBSPACE = 256, 8
 BLOCK = 2048  # members, and probes, that meet in one call
 
@@ -51,36 +52,61 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int):
-        self.coarse = _k_means(sample, min(lists, len(sample)))
-        rest = sample - self.coarse[_nearest(sample, self.coarse)]
-        self.parts = np.array_split(np.arange(sample.shape[1]), math.ceil(sample.shape[1] / SUBSPACE))
+        width = sample.shape[1]
+        self.halves = np.array_split(np.arange(width), min(2, width))
+        k = max(1, min(MOST_COARSE, math.ceil(lists ** (1 / len(self.halves))), len(sample)))
+        self.coarse = [_k_means(np.ascontiguousarray(sample[:, h]), k) for h in self.halves]
+        rest = sample - self.center(self.cell(sample))
+        self.parts = np.array_split(np.arange(width), math.ceil(width / SUBSPACE))
         self.words = [_k_means(np.ascontiguousarray(rest[:, p]), min(CODEWORDS, len(rest))) for p in self.parts]
 
-    def code(self, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        out = np.zeros(len(x), np.int64)
+        for h, c in zip(self.halves, self.coarse, strict=True):
+            out = out * len(c) + _nearest(x[:, h], c)
+        return out
+
+    def center(self, cells: np.ndarray) -> np.ndarray:
+        """The centroid of each list."""
+        out, rest = np.empty((len(cells), sum(map(len, self.halves)))), cells
+        for h, c in zip(self.halves[::-1], self.coarse[::-1], strict=True):
+            out[:, h], rest = c[rest % len(c)], rest // len(c)
+        return out
+
+    def code(self, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of vectors in their lists, and how far each code misses its vector."""
-        rest = x - self.coarse[near]
+        rest = x - self.center(cells)
         codes = np.stack([_nearest(rest[:, p], w) for p, w in zip(self.parts, self.words, strict=True)], axis=1).astype(np.uint8)
         missed = sum(((rest[:, p] - w[codes[:, m]]) ** 2).sum(1) for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)))
         return codes, np.sqrt(missed)
 
-    def probes(self, x: np.ndarray, near: np.ndarray, wall: float) -> tuple[np.ndarray, np.ndarray]:
+    def _walls(self, x: np.ndarray, own: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """How far each vector is from the wall between its cell and each other cell of one half."""
+        norm = (c**2).sum(1)
+        between = np.sqrt(np.maximum(norm[:, None] + norm - 2 * c @ c.T, 0))[own]
+        far = norm - 2 * x @ c.T
+        away = far - np.take_along_axis(far, own[:, None], 1)
+        return np.where(between > 0, np.maximum(away, 0) / np.where(between > 0, 2 * between, 1), 0)
+
+    def probes(self, x: np.ndarray, cells: np.ndarray, wall: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists after a row's own whose cells lie within ``wall``."""
-        c = self.coarse
-        between = np.sqrt(np.maximum(((c**2).sum(1)[:, None] + (c**2).sum(1)) - 2 * c @ c.T, 0))
-        rows, lists = [], []
-        for i in range(0, len(x), 1024):
-            own, a = x[i : i + 1024], near[i : i + 1024]
-            far = (c**2).sum(1) - 2 * own @ c.T
-            away = far - np.take_along_axis(far, a[:, None], 1)
-            hit = (away <= 2 * wall * between[a]) & (np.arange(len(c)) > a[:, None])
-            r, l = np.nonzero(hit)
+        total = math.prod(map(len, self.coarse))
+        step = max(1, 4_000_000 // total)
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(x), step):
+            away, rest = np.zeros((len(x[i : i + step]), 1)), cells[i : i + step]
+            for h, c in zip(self.halves[::-1], self.coarse[::-1], strict=True):
+                own, rest = rest % len(c), rest // len(c)
+                away = (self._walls(x[i : i + step][:, h], own, c)[:, :, None] ** 2 + away[:, None, :]).reshape(len(away), -1)
+            r, found = np.nonzero((away <= wall**2) & (np.arange(total) > cells[i : i + step, None]))
             rows.append(r + i)
-            lists.append(l)
+            lists.append(found)
         return np.concatenate(rows), np.concatenate(lists)
 
     def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the coded vectors of a list, by table look-up."""
-        rest = queries - self.coarse[which]
+        rest = queries - self.center(np.array([which]))
         out = np.zeros((len(queries), len(codes)))
         for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
             q = rest[:, p]
@@ -120,7 +146,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 MEMBER, PROBE, OWN = 0, 1, 2
-_ASSIGNED = "role int, list int, vec_id long, weight long, code binary, missed double, vec binary"
+_ASSIGNED = "role int, list long, vec_id long, weight long, code binary, missed double, vec binary"
 
 
 def _assign(quantiser, wall: float):
@@ -135,7 +161,7 @@ def _assign(quantiser, wall: float):
             ids, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i in range(0, len(x), 512):
                 own = unit[i : i + 512]
-                near = _nearest(own, q.coarse)
+                near = q.cell(own)
                 codes, missed = q.code(own, near)
                 row, far = q.probes(own, near, wall)
                 rows = np.concatenate([np.arange(len(own)), np.arange(len(own)), row])
@@ -146,7 +172,7 @@ def _assign(quantiser, wall: float):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(role),
-                        pa.array(lists.astype(np.int32)),
+                        pa.array(lists),
                         pa.array(ids[i + rows]),
                         pa.array(weight[i + rows]),
                         pa.array([code[r] if m else None for r, m in zip(rows, member, strict=True)], pa.binary()),
@@ -196,7 +222,7 @@ def _meet(quantiser, similarity: float, reach: float):
 
 
 # ------------------------------------------------------------------ the operator
-def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, reach: float = REACH, most_lists: int = MOST_LISTS) -> DataFrame:
+def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, reach: float = REACH) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Two vectors link if their cosine, in double precision, is at least ``similarity``. Null, empty and zero
@@ -206,7 +232,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty table gives no rows.
 
     The quantisers are fitted on at most 65,536 classes, those of the smallest hashes; every class is then
-    indexed. A list is met in blocks of about 2,048 members and 2,048 probes, whatever its size, and a
+    indexed. There are about 2 * sqrt(n) lists, up to 4096 * 4096. A list is met in blocks of about 2,048 members and 2,048 probes, whatever its size, and a
     block returns sums and a spanning forest, never its pairs.
     """
     spark = vectors.sparkSession
@@ -221,10 +247,10 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         sample = firsts.orderBy("h1", "vec_id").limit(SAMPLE).select("vec").toArrow()
         flat, _, _ = _rows(sample.column("vec"))
         x = flat.reshape(sample.num_rows, size)
-        quantiser = spark.sparkContext.broadcast(Quantiser(x / np.sqrt((x**2).sum(1))[:, None], max(1, min(most_lists, math.ceil(2 * math.sqrt(n))))))
+        quantiser = spark.sparkContext.broadcast(Quantiser(x / np.sqrt((x**2).sum(1))[:, None], math.ceil(2 * math.sqrt(n))))
         assigned = settle(firsts.select("vec_id", "weight", "vec").mapInArrow(_assign(quantiser, reach * wall), _ASSIGNED), "assigned")
         blocks = assigned.groupBy("list").agg(*(F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int").alias(k) for k, c in (("members", F.col("role") == MEMBER), ("probes", F.col("role") != MEMBER))))
-        both = assigned.join(F.broadcast(blocks), "list")  # a row for each list: at most ``most_lists``
+        both = assigned.join(blocks, "list")
         spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")
         member, every = F.col("role") == MEMBER, lambda k: F.sequence(F.lit(0), F.col(k) - 1)
         grid = both.where("members > 0 AND probes > 0").select(
