@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 LEAF = 16  # bytes that are merged pair by pair
 REMEMBERED = 200_000  # pieces
@@ -156,4 +156,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(encode), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

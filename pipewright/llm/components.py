@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lean, settle
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     written table, so a lost executor costs at most that round. Repeated edges and loops do no harm.
     """
     spark = edges.sparkSession
-    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
+    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "edges")
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):

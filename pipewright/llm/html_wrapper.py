@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices, texts
+from .common import lean, settle, slices, texts
 
 #: FIXED VALUES: elements by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -294,12 +294,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages costs no more than others. Layouts, not pages, are aligned.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = settle(rows.mapInArrow(_parse, _PARSED), "pages")
+    parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages")
     one = F.count(F.lit(1))
     layouts = settle(parsed.groupBy("host", "tree").agg(one.alias("n")), "layouts")
     reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"))
     of = layouts.join(reference, "host").select("host", "tree", "reference")
-    aligned = of.select("tree", "reference").distinct().mapInArrow(_align, "tree string, reference string, node int, slot int")
+    aligned = of.select("tree", "reference").distinct().mapInArrow(lean(_align), "tree string, reference string, node int, slot int")
     # A page's text at a node is one string, whatever the number of its blocks there.
     of_node = parsed.where("size(blocks) > 0").select("host", "tree", F.xxhash64("blocks.text").alias("page"), "blocks", F.explode(F.array_distinct("blocks.node")).alias("node"))
     mine = F.filter("blocks", lambda b: b["node"] == F.col("node"))

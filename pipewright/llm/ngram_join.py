@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, partitions, settle, slices, texts, word_hashes, words
+from .common import lean, lower_ascii, mix, partitions, settle, slices, texts, word_hashes, words
 from .components import _forest, components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5  # words of a shingle; similarity 4/5
@@ -188,7 +188,7 @@ SAMPLE, COMMON = 5000, 0.002  # documents that tell common shingles, and the sha
 
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         sets = [t for _, t in shingle_sets(batch.column(1))]
         token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
@@ -199,7 +199,7 @@ def _common(rows: DataFrame, documents: int) -> np.ndarray:
     every = max(1, documents // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     least = max(10, int(COMMON * documents / every))
-    counts = sample.mapInArrow(_shingle_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = sample.mapInArrow(lean(_shingle_counts), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
 
 
@@ -311,7 +311,7 @@ def _sets_of(names: DataFrame, rows: DataFrame) -> DataFrame:
     bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
     bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
     wanted = spark.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool))
-    found = rows.select("doc_id", "text", place.alias("h")).mapInArrow(_sets(wanted), "doc_id long, tokens array<long>")
+    found = rows.select("doc_id", "text", place.alias("h")).mapInArrow(lean(_sets(wanted)), "doc_id long, tokens array<long>")
     return settle(found.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
 
 
@@ -380,8 +380,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tasks = max(partitions(spark), math.ceil((volume or 0) / 12 / KEYS_PER_TASK))
     common = spark.sparkContext.broadcast(_common(named, documents))
     for seed in range(8):
-        sent = named.mapInArrow(_emit(seed, tasks, common), "task int, kind int, payload binary")
-        found = settle(sent.repartitionById(tasks, F.col("task")).mapInArrow(_gather, "kind int, w long, x long, y long, z long"), "candidates")
+        sent = named.mapInArrow(lean(_emit(seed, tasks, common)), "task int, kind int, payload binary")
+        found = settle(sent.repartitionById(tasks, F.col("task")).mapInArrow(lean(_gather), "kind int, w long, x long, y long, z long"), "candidates")
         if found.where(F.col("kind") == DEFICIENT).isEmpty():
             break
     else:
@@ -419,7 +419,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         known = components(links.union(more))
 
     own = _component(_component(stats, member, "doc_id", "first"), known, "first", "component_id").select("doc_id", "n_shingles", "component_id")
-    nameless = rows.where("doc_id IS NULL").mapInArrow(_count, "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    nameless = rows.where("doc_id IS NULL").mapInArrow(lean(_count), "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return own.union(nameless)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 #: FIXED VALUES: first names by gender and script, and titles by gender.
 NAMES = {
@@ -224,7 +224,7 @@ def distinct_key(docs: DataFrame, key: bytes, text_col: str = "text") -> bytes:
     rows = docs.select(F.col(f"`{text_col}`").alias("text"))
     for attempt in range(16):
         now = key if not attempt else hashlib.blake2b(bytes([attempt]), key=key[:64], digest_size=32).digest()
-        met = rows.mapInArrow(_entities(0, now), "kind string, entity string, surrogate string").groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
+        met = rows.mapInArrow(lean(_entities(0, now)), "kind string, entity string, surrogate string").groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b"))
         if met.where("a <> b OR a = '='").isEmpty():
             return now
     raise RuntimeError("no key keeps the entities apart")
@@ -256,4 +256,4 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", checke
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(f) for _, f in done], pa.int64()), pa.array(kinds, pa.string())], names=[*kept, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "n_entities long, entity_kinds string"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

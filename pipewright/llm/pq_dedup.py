@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, settle
+from .common import lean, mix, settle
 from .components import _forest, components
 
 SIMILARITY = 0.95
@@ -237,7 +237,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec"))
-    names = settle(rows.where("vec_id IS NOT NULL").mapInArrow(_names, "vec_id long, size long, h1 long, h2 long").distinct(), "vectors")
+    names = settle(rows.where("vec_id IS NOT NULL").mapInArrow(lean(_names), "vec_id long, size long, h1 long, h2 long").distinct(), "vectors")
     classes = settle(names.groupBy("size", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes")
     wall = math.sqrt(2 - 2 * similarity)
     met = None
@@ -248,7 +248,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         flat, _, _ = _rows(sample.column("vec"))
         x = flat.reshape(sample.num_rows, size)
         quantiser = spark.sparkContext.broadcast(Quantiser(x / np.sqrt((x**2).sum(1))[:, None], math.ceil(2 * math.sqrt(n))))
-        assigned = settle(firsts.select("vec_id", "weight", "vec").mapInArrow(_assign(quantiser, reach * wall), _ASSIGNED), "assigned")
+        assigned = settle(firsts.select("vec_id", "weight", "vec").mapInArrow(lean(_assign(quantiser, reach * wall)), _ASSIGNED), "assigned")
         blocks = assigned.groupBy("list").agg(*(F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int").alias(k) for k, c in (("members", F.col("role") == MEMBER), ("probes", F.col("role") != MEMBER))))
         both = assigned.join(blocks, "list")
         spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, word_hashes, words
+from .common import lean, slices, texts, word_hashes, words
 
-CHUNK = 4 << 20  # bytes of text that are sorted together; a longer text is sorted alone
+CHUNK = 1 << 20  # bytes of text that are sorted together; a longer text is sorted alone
 BASE_RUN = 8  # words of a window of the base rule
 
 #: Fixed values of the method's verdict.
@@ -175,4 +175,4 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_covered: int = MA
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept_columns))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), MEASURES])
-    return rows.mapInArrow(rules, schema)
+    return rows.mapInArrow(lean(rules), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, new_folder, open_fs, partitions, slices, texts, word_hashes, words
+from .common import lean, lower_ascii, new_folder, open_fs, partitions, slices, texts, word_hashes, words
 
 MAGIC = b"PWDAC\x00\x00\x01"
 BLOCK = 512
@@ -96,7 +96,7 @@ class WordEncoder:
             values[k] = v
         return values
 
-    def column(self, column: pa.Array, end: int | None = None, most: int = 3 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def column(self, column: pa.Array, end: int | None = None, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each text of a column (null: empty), with the end id after them if given."""
         data, offsets = texts(column)
         tail = np.array([] if end is None else [end], "<u4")
@@ -256,7 +256,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
     filesystem.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return dealt.mapInArrow(write, "shard long, path string, documents long, tokens long")
+    return dealt.mapInArrow(lean(write), "shard long, path string, documents long, tokens long")
 
 
 def read_token_files(spark, manifest: list, folder: str) -> DataFrame:
@@ -280,7 +280,7 @@ def read_token_files(spark, manifest: list, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(shard.offsets[:-1] + base), pa.array(np.diff(shard.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int, **columns) -> DataFrame:

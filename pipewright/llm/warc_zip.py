@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_fs, settle, slices, texts
+from .common import lean, new_folder, open_fs, settle, slices, texts
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 PACKAGE_BYTES = 32 << 20  # of records in a package, about
@@ -214,7 +214,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     shared = settle(equal.where("first < last").select("digest", "first"), "digests")
     filesystem, root = open_fs(folder)
     filesystem.create_dir(root, recursive=True)
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(_writer(folder), "path string, records long")
+    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(lean(_writer(folder)), "path string, records long")
 
 
 def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
@@ -226,4 +226,4 @@ def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     paths = [(r["path"],) for r in write_packages(pages, folder, **columns).collect()]
-    return spark.createDataFrame(paths, "path string").repartition(max(1, len(paths))).mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.createDataFrame(paths, "path string").repartition(max(1, len(paths))).mapInArrow(lean(_reader(folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
