@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, pq_dedup, repetition, warc_zip
+from . import license_scan, ngram_join, pq_dedup, repetition, warc_zip
 from .license_rules import RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -81,4 +81,19 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, c.c) AS component_id,
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
 
 
-ORACLE_SQL = {"op1_pq_dedup": vectors_sql(), "op8_warc_zip": warc_sql(), "op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}
+def ngram_sql() -> str:
+    """Operator 10, by the shingles that pairs share: for small tables."""
+    width, top, of = ngram_join.WIDTH, ngram_join.NUMERATOR, ngram_join.DENOMINATOR
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{_WORD}') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + {width - 1}], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {width - 2}, 2))) AS p FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {of} * c >= {top} * (x.n + y.n - c)),
+  r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, c.c) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = documents.doc_id"""
+
+
+ORACLE_SQL = {"op10_ngram_join": ngram_sql(), "op1_pq_dedup": vectors_sql(), "op8_warc_zip": warc_sql(), "op2_repetition": repetition_sql(), "op4_license_scan": license_sql()}
