@@ -186,6 +186,7 @@ class Shard:
         self.levels = sections[1 : 1 + 3 * levels].reshape(levels, 3, 2)
         self.doc_ids = np.frombuffer(self._read(*sections[-2]), "<i8")
         self.offsets = np.frombuffer(self._read(*sections[-1]), "<i8")
+        self.reached: dict[int, tuple[int, int]] = {}  # of each level the bit behind the last range, and its rank
         self.directories = [np.frombuffer(self._read(*x[2]), "<u8") for x in self.levels]
 
     def _read(self, at: int, n: int) -> bytes:
@@ -193,6 +194,8 @@ class Shard:
 
     def _rank(self, level: int, i: int) -> int:
         """Set bits before bit i of a level's bitmap: a directory entry and less than a block of bits."""
+        if self.reached.get(level, (-1, 0))[0] == i:
+            return self.reached[level][1]
         block = i // BLOCK
         first, place = block * BLOCK, self.levels[level][1][0]
         bits = np.unpackbits(np.frombuffer(self._read(place + first // 8, (i - first + 7) // 8), np.uint8), count=i - first, bitorder="little")
@@ -204,9 +207,10 @@ class Shard:
         ids = np.frombuffer(self._read(place + first, n), np.uint8).astype("<u4")
         if n and length:
             skip = first % 8
-            bits = np.unpackbits(np.frombuffer(self._read(bitmap + first // 8, (skip + n + 7) // 8), np.uint8), bitorder="little")[skip : skip + n].astype(bool)
-            if many := int(bits.sum()):
-                at = self._rank(level, first)
+            bits = np.unpackbits(np.frombuffer(self._read(bitmap + first // 8, (skip + n + 7) // 8), np.uint8), bitorder="little")[skip : skip + n].view(bool)
+            at, many = self._rank(level, first), int(np.count_nonzero(bits))
+            self.reached[level] = (after, at + many)
+            if many:
                 ids[bits] |= self.range(at, at + many, level + 1) << np.uint32(8)
         return ids
 
