@@ -214,6 +214,7 @@ _COLUMNS = {KEYS: 2, PAIRS: 3, STATS: 4, DEFICIENT: 1}
 def _emit(seed: int, tasks: int, common):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_docs, held, stats, deficient, turn = [], [], 0, [], [], 0
+        seen: set[tuple[int, int, int]] = set()
 
         def flush() -> pa.RecordBatch:
             nonlocal held_keys, held_docs, held, stats, deficient, turn
@@ -233,6 +234,7 @@ def _emit(seed: int, tasks: int, common):
             if deficient:
                 rows.append((turn % tasks, DEFICIENT, _payload(np.array(deficient))))
             held_keys, held_docs, held, stats, deficient, turn = [], [], 0, [], [], turn + 1
+            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["task", "kind", "payload"])
 
         for batch in batches:
@@ -241,6 +243,9 @@ def _emit(seed: int, tasks: int, common):
                 doc = ids[row]
                 mixed = mix(tokens)
                 stats.append((doc, len(tokens), int(mixed.sum().view(np.int64)), int(mix(mixed ^ _G[2]).sum().view(np.int64))))
+                if stats[-1][1:] in seen:
+                    continue  # an equal set has sent these keys; their class links the two
+                seen.add(stats[-1][1:])
                 keys, short = keys_of(tokens, seed, common.value)
                 if short:
                     deficient.append(doc)
