@@ -158,13 +158,14 @@ def keys_of(tokens: np.ndarray, seed: int, common: np.ndarray | None = None) ->
 
 # ------------------------------------------------------------------ candidates
 def _stars(keys: np.ndarray, docs: np.ndarray, crowd: int):
-    """Groups of equal keys, but for the bits, as stars about their first row.
+    """Groups of equal keys, but for the bits, as stars about their smallest document, whatever its bits:
+    then the groups of one segment, whole and less one shingle, mostly have the same center.
 
     Returns (document, center, keys they share) of the groups of at least ``crowd`` rows, and the rows
-    that must go on to meet other tasks' rows: of a crowd the first of each key and bits, else all.
+    that must go on to meet other tasks' rows: of a crowd the first with each bits, else all.
     Without a crowd only groups count in which one asks and one lacks no shingle.
     """
-    order = np.lexsort((docs, keys))
+    order = np.lexsort((docs, keys >> BITS))
     keys, docs = keys[order], docs[order]
     name, bits = keys >> BITS, (keys & np.uint64(7)).astype(np.int64)
     new = np.empty(len(name), bool)
@@ -177,11 +178,12 @@ def _stars(keys: np.ndarray, docs: np.ndarray, crowd: int):
     else:
         counts = np.logical_or.reduceat((bits & PASSIVE) == 0, first) & np.logical_or.reduceat((bits & DELETED) == 0, first)
     counts = np.repeat(counts, size)
-    onward = np.ones(len(keys), bool)
-    onward[1:] = keys[1:] != keys[:-1]
+    onward = ~counts
+    if crowd:
+        onward[np.unique(keys, return_index=True)[1]] = True
     star = counts & (docs != center)
     pair, shared = np.unique(np.stack([docs[star], center[star]]), axis=1, return_counts=True) if star.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-    return pair[0], pair[1], shared, keys[onward | ~counts], docs[onward | ~counts]
+    return pair[0], pair[1], shared, keys[onward], docs[onward]
 
 
 SAMPLE, COMMON = 5000, 0.002  # documents that tell common shingles, and the share of them that holds such a one
