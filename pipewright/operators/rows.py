@@ -88,7 +88,7 @@ def mutate(state: State, verb: A.Mutate) -> State:
 def rename(state: State, verb: A.Rename) -> State:
     old = {}
     for new, name in verb.pairs:
-        found = _has(state.visible, name) or _has(state.df.columns, name)
+        found = _has(state.visible, name)
         if found is None:
             raise PlanError(f"rename: there is no column {name!r}")
         old[found] = new

@@ -18,4 +18,4 @@ def set_op(state: State, verb: A.SetOp) -> State:
             raise PlanError(f"{verb.kind}: {a.name} is {x} and {b.name} is {y}", hint="Cast one of them")
     right = right.toDF(*left.columns)
     df = left.union(right).distinct() if verb.kind == "union" else left.intersect(right) if verb.kind == "intersect" else left.subtract(right)
-    return state.to(df, left.columns)
+    return state.to(df, left.columns, groups=tuple(g for g in state.groups if g in left.columns))

@@ -126,6 +126,9 @@ def test_scope(engine):
     assert engine.pipe("nulls %>% select(d = i, i = d)").columns == ["d", "i"]
     assert rows(engine, "nulls %>% select(st) %>% group_by(g) %>% summarise(n = n()) %>% arrange(g)") == [(1, 2), (2, 2)]
     assert engine.pipe("nulls %>% select(-d, -g)").columns == ["i", "st"]
+    assert rows(engine, "da %>% group_by(y) %>% select(x) %>% union(ones_x) %>% summarise(n = n())") == [(3,)] if engine.register("ones_x", engine.pipe("da %>% select(x)")) else None
+    with pytest.raises(PlanError):
+        engine.pipe("nulls %>% select(st) %>% rename(z = d)")
     assert engine.pipe("nulls %>% mutate(i = i + 1, j = i, i = 0)").columns == ["i", "d", "st", "g", "j"]
     with pytest.raises(Exception, match="nope"):
         engine.pipe("nulls %>% summarise(n = n()) %>% filter(nope > 1)")
