@@ -145,7 +145,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of words, over all bytes of each."""
     length = ends - starts
     out = np.zeros(len(starts), np.uint64)
-    order = np.argsort(-length, kind="stable")
+    order = np.argsort(255 - np.minimum(length, 255).astype(np.uint8), kind="stable")  # a radix sort; long words are hashed one by one
     s, n = starts[order], length[order]
     long = int(np.searchsorted(-n, -48, "left")) if len(n) else 0  # words of 48 bytes and more
     h = np.full(len(s), 0x9E3779B97F4A7C15, np.uint64)
