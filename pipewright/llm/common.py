@@ -42,9 +42,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, label: str, few: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``few``: rows are small against what they are made from, so they go into a sixteenth as many files.
+    """
     spark = df.sparkSession
+    df = df.repartition(max(1, partitions(spark) // 16)) if few else df
     where = new_folder(spark, label)
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)

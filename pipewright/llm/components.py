@@ -67,7 +67,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     written table, so a lost executor costs at most that round. Repeated edges and loops do no harm.
     """
     spark = edges.sparkSession
-    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "edges")
+    now = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_contract), "a long, b long"), "edges", few=True)
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(most_rounds):
@@ -79,7 +79,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        after = settle(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        after = settle(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges", few=True)
         # Done when every node has one parent and no parent has a parent.
         many = after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
         deep = after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1)

@@ -296,7 +296,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages")
     one = F.count(F.lit(1))
-    layouts = settle(parsed.groupBy("host", "tree").agg(one.alias("n")), "layouts")
+    layouts = settle(parsed.groupBy("host", "tree").agg(one.alias("n")), "layouts", few=True)
     reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"))
     of = layouts.join(reference, "host").select("host", "tree", "reference")
     aligned = of.select("tree", "reference").distinct().mapInArrow(lean(_align), "tree string, reference string, node int, slot int")
@@ -313,7 +313,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     template = (F.col("low") == F.col("high")) & (F.col("pages") >= MIN_PAGES)
     menu = F.col("linked") > LINKED * F.col("words")
     wrapper = slots.select("host", "tree", "node", "place").join(over, ["host", "place"]).where(template | (menu & ~article & (F.col("pages") >= MIN_PAGES)))
-    wrapper = settle(wrapper.groupBy("host", "tree").agg(F.collect_set("node").alias("dropped")), "wrappers")
+    wrapper = settle(wrapper.groupBy("host", "tree").agg(F.collect_set("node").alias("dropped")), "wrappers", few=True)
     full = parsed.join(wrapper, ["host", "tree"], "left")
     left = F.when(F.col("dropped").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["node"])))
     text = F.coalesce(F.array_join(F.transform(left, lambda b: b["text"]), " "), F.lit(""))

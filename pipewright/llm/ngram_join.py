@@ -329,7 +329,7 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # Many documents meet one center: the center's set is attached last, and AQE splits a center with many partners.
     both = pairs.join(left, "a").join(right, "b")
     common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return settle(both.where(common * DENOMINATOR >= (total - common) * NUMERATOR).select("a", "b"), "links")
+    return settle(both.where(common * DENOMINATOR >= (total - common) * NUMERATOR).select("a", "b"), "links", few=True)
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -395,11 +395,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise RuntimeError("eight drawings of the partition left some set without a budget")
     stats = found.where(F.col("kind") == STATS).select(F.col("w").alias("doc_id"), F.col("x").alias("n_shingles"), F.col("y").alias("h1"), F.col("z").alias("h2"))
     classes = stats.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"))
-    member = settle(stats.distinct().join(classes, ["n_shingles", "h1", "h2"]).where("first <> doc_id").select(F.col("doc_id").alias("node"), F.col("first").alias("component")), "classes")
+    member = settle(stats.distinct().join(classes, ["n_shingles", "h1", "h2"]).where("first <> doc_id").select(F.col("doc_id").alias("node"), F.col("first").alias("component")), "classes", few=True)
     star = found.where(F.col("kind") == PAIRS).select(F.col("w").alias("doc"), F.col("x").alias("center"), F.col("y").alias("shared"))
     star = star.groupBy("doc", "center").agg(F.sum("shared").alias("shared"))
     star = _component(_component(star, member, "doc", "a"), member, "center", "b").where("a <> b")
-    star = settle(star.groupBy("a", "b").agg(F.max("shared").alias("shared")), "stars")
+    star = settle(star.groupBy("a", "b").agg(F.max("shared").alias("shared")), "stars", few=True)
     sets = _sets_of(star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct(), named)
     best = star.groupBy("a").agg(F.max(F.struct("shared", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     links = _similar_pairs(best, sets)
@@ -407,9 +407,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # What meets in the keys of a component's centers, as far as it isn't connected yet.
     checked = star.join(best.withColumn("checked", F.lit(True)), ["a", "b"], "left").select("a", "b", F.col("checked").isNull().alias("open"))
-    reached = settle(_component(_component(checked, known, "b", "of"), known, "a", "ca"), "reached")
+    reached = settle(_component(_component(checked, known, "b", "of"), known, "a", "ca"), "reached", few=True)
     group = reached.select("of", F.col("a").alias("doc"), F.col("ca").alias("c"), "open").union(reached.select("of", F.col("b").alias("doc"), F.col("of").alias("c"), "open"))
-    group = settle(group.groupBy("of", "doc", "c").agg(F.max("open").alias("open")), "groups")
+    group = settle(group.groupBy("of", "doc", "c").agg(F.max("open").alias("open")), "groups", few=True)
     sizes = group.groupBy("of").agg(F.count(F.when(F.col("c") != F.col("of"), 1)).alias("outside"), F.count(F.lit(1)).alias("all"), F.max("open").alias("open"))
     sizes = sizes.where("outside > 0 AND (open OR all > 2)")
     sizes = sizes.select("of", F.ceil(F.col("outside") / MEET).cast("int").alias("is"), F.ceil(F.col("all") / MEET).cast("int").alias("js"))
@@ -421,7 +421,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ask = dealt.where(~few).where("c <> of").withColumns({"asks": F.lit(True), "heard": F.lit(False), "i": F.col("spread") % F.col("is"), "j": every("js")})
     heard = dealt.where(~few).withColumns({"asks": F.lit(False), "heard": F.lit(True), "j": F.col("spread") % F.col("js"), "i": every("is")})
     grid = small.unionByName(ask).unionByName(heard).select("meet", "i", "j", "of", "doc", "c", "asks", "heard").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
-    more = settle(grid.groupBy("meet", "i", "j").applyInArrow(_meet, "a long, b long"), "more")
+    more = settle(grid.groupBy("meet", "i", "j").applyInArrow(_meet, "a long, b long"), "more", few=True)
     if not more.isEmpty():
         known = components(links.union(more))
 

@@ -237,8 +237,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec"))
-    names = settle(rows.where("vec_id IS NOT NULL").mapInArrow(lean(_names), "vec_id long, size long, h1 long, h2 long").distinct(), "vectors")
-    classes = settle(names.groupBy("size", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes")
+    names = settle(rows.where("vec_id IS NOT NULL").mapInArrow(lean(_names), "vec_id long, size long, h1 long, h2 long").distinct(), "vectors", few=True)
+    classes = settle(names.groupBy("size", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes", few=True)
     wall = math.sqrt(2 - 2 * similarity)
     met = None
     for size, n in sorted(tuple(r) for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()):
@@ -263,7 +263,7 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         met = found if met is None else met.union(found)
     if met is None:
         met = spark.createDataFrame([], "kind int, a long, b long")
-    met = settle(met, "met")
+    met = settle(met, "met", few=True)
     links = met.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("first")).agg(F.sum("b").alias("links"))
     known = components(met.where(F.col("kind") == EDGE).select("a", "b")).withColumnsRenamed({"node": "first"})
     of = classes.join(links, "first", "left").join(known, "first", "left").select("size", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))

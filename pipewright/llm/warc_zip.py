@@ -211,7 +211,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     equal = rows.where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    shared = settle(equal.where("first < last").select("digest", "first"), "digests")
+    shared = settle(equal.where("first < last").select("digest", "first"), "digests", few=True)
     filesystem, root = open_fs(folder)
     filesystem.create_dir(root, recursive=True)
     return rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "first").mapInArrow(lean(_writer(folder)), "path string, records long")
