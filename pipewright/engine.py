@@ -80,6 +80,7 @@ class Engine:
             return self.pipe(body)
         if any(f in text.lower() for f in SYNTAX_FUNCTIONS):
             body = text = tell_syntax(body, self.pipe_syntax)
+        self.catalog.prepare(body)
         segments = scan(body)
         if not segments:
             return self.spark.sql(text)

@@ -127,9 +127,9 @@ NATIVE = {
 
 def engine(spark: SparkSession, sf_dir: str, pipe_syntax: str | None = "magrittr") -> Engine:
     e = Engine(spark, pipe_syntax).load_dir(sf_dir, TABLES)
-    e.register("data", e.catalog.table("nation"))
+    e.catalog.promise("data", lambda: e.catalog.table("nation"))
     for name, text in VIEWS.items():
-        e.register(name, e.pipe(text, pipe_syntax="magrittr"))
+        e.catalog.promise(name, lambda text=text: e.pipe(text, pipe_syntax="magrittr"))
     return e
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +17,11 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.frames: dict[str, DataFrame] = {}
+        self.promised: dict[str, tuple[str, Callable[[], DataFrame]]] = {}
 
     def bind(self, name: str, df: DataFrame) -> None:
         """Bind a frame, and show it to plain SQL as a temporary view."""
+        self.promised.pop(name.lower(), None)
         self.frames[name.lower()] = df
         df.createOrReplaceTempView("`" + name.replace("`", "``") + "`")
 
@@ -25,12 +30,26 @@ class Catalog:
         self.bind(name, df)
         return df
 
+    def promise(self, name: str, make: Callable[[], DataFrame]) -> None:
+        """Bind a frame when it is first asked for: a table no query names is never opened."""
+        self.frames.pop(name.lower(), None)
+        self.promised[name.lower()] = (name, make)
+
     def load_dir(self, folder: str, names, format: str = "parquet") -> None:
-        """Bind ``folder/name.format`` for each name."""
+        """Promise ``folder/name.format`` for each name."""
         for name in names:
-            self.load(name, f"{folder}/{name}.{format}", format)
+            self.promise(name, lambda path=f"{folder}/{name}.{format}": self.spark.read.format(format).load(path))
+
+    def prepare(self, sql: str) -> None:
+        """Bind what was promised under a name that stands in some SQL."""
+        for name, _ in list(self.promised.values()):
+            if re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE):
+                self.table(name)
 
     def table(self, name: str) -> DataFrame:
+        if name.lower() in self.promised:
+            own, make = self.promised.pop(name.lower())
+            self.bind(own, make())
         found = self.frames.get(name.lower())
         if found is not None:
             return found
