@@ -20,7 +20,10 @@ Documents that share a key for which at least one asks are candidates. Within a
 the key's first document, its center; a document is first checked against the center it shares most keys
 with. The components that this gives gather the documents of their centers' keys, and those of them that
 are not connected yet are checked against all of their group in blocks, by products of incidence
-matrices. That is enough for components: a pair that is never compared is already connected.
+matrices. A crowd, many documents of one task's lot that share a key, is tied to a center of its own
+there, and only that goes on with the key; so where all lots' rows of the key meet, the crowd's center is
+named with the key's, and the crowd's documents join the group of the key's center too. That is enough
+for components: a pair that is never compared is already connected.
 """
 
 from __future__ import annotations
@@ -186,6 +189,27 @@ def _stars(keys: np.ndarray, docs: np.ndarray, crowd: int):
     return pair[0], pair[1], shared, keys[onward], docs[onward]
 
 
+def _crowds(keys: np.ndarray, crowd: int) -> np.ndarray:
+    """The keys, without their bits, that are a crowd's."""
+    name, size = np.unique(keys >> BITS, return_counts=True)
+    return name[size >= crowd]
+
+
+def _ties(keys: np.ndarray, docs: np.ndarray, names: np.ndarray, lot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(center of a lot's crowd, center of the key) where they differ, of the keys ``names`` by their crowds' centers ``lot``."""
+    mine = np.isin(keys >> BITS, names)
+    keys, docs = keys[mine], docs[mine]
+    order = np.lexsort((docs, keys >> BITS))
+    keys, docs = keys[order], docs[order]
+    bits = (keys & np.uint64(7)).astype(np.int64)
+    name, first = np.unique(keys >> BITS, return_index=True)
+    counts = np.logical_or.reduceat((bits & PASSIVE) == 0, first) & np.logical_or.reduceat((bits & DELETED) == 0, first)
+    at = np.searchsorted(name, names)
+    tie = counts[at] & (docs[first][at] != lot)
+    pair = np.unique(np.stack([lot[tie], docs[first][at][tie]]), axis=1) if tie.any() else np.zeros((2, 0), np.int64)
+    return pair[0], pair[1]
+
+
 SAMPLE, COMMON = 5000, 0.002  # documents that tell common shingles, and the share of them that holds such a one
 
 
@@ -209,8 +233,8 @@ def _payload(*columns) -> bytes:
     return np.stack([np.asarray(c).view(np.int64) if np.asarray(c).dtype == np.uint64 else np.asarray(c, np.int64) for c in columns], axis=1).tobytes()
 
 
-KEYS, PAIRS, STATS, DEFICIENT = 0, 1, 2, 3
-_COLUMNS = {KEYS: 2, PAIRS: 3, STATS: 4, DEFICIENT: 1}
+KEYS, PAIRS, STATS, DEFICIENT, CROWDED, CENTERS, TIES = 0, 1, 2, 3, 4, 5, 6
+_COLUMNS = {KEYS: 2, PAIRS: 3, STATS: 4, DEFICIENT: 1, CROWDED: 3, CENTERS: 2}
 
 
 def _emit(seed: int, tasks: int, common):
@@ -218,19 +242,29 @@ def _emit(seed: int, tasks: int, common):
         held_keys, held_docs, held, stats, deficient, turn = [], [], 0, [], [], 0
         seen: set[tuple[int, int, int]] = set()
 
+        def deal(kind: int, names: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+            task = ((mix(names) >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            cut = np.searchsorted(task[order], np.arange(tasks + 1))
+            columns = [c[order] for c in columns]
+            return [(t, kind, _payload(*(c[a:b] for c in columns))) for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
         def flush() -> pa.RecordBatch:
             nonlocal held_keys, held_docs, held, stats, deficient, turn
             rows = []
             if held_keys:
                 # A key that many documents of this task share goes on once; the others are linked to its first here.
-                *pairs, keys, docs = _stars(np.concatenate(held_keys), np.concatenate(held_docs), CROWD)
+                whole = np.concatenate(held_keys)
+                *pairs, keys, docs = _stars(whole, np.concatenate(held_docs), CROWD)
                 if len(pairs[0]):
-                    rows.append((turn % tasks, PAIRS, _payload(*pairs)))
-                task = ((mix(keys >> BITS) >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(task, kind="stable")
-                keys, docs, task = keys[order], docs[order], task[order]
-                cut = np.searchsorted(task, np.arange(tasks + 1))
-                rows += [(t, KEYS, _payload(keys[a:b], docs[a:b])) for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                    rows.append((turn % tasks, CROWDED, _payload(*pairs)))
+                rows += deal(KEYS, keys >> BITS, keys, docs)
+                crowds = _crowds(whole, CROWD)
+                if len(crowds):
+                    sent = np.isin(keys >> BITS, crowds)
+                    order = np.lexsort((docs[sent], keys[sent] >> BITS))
+                    names, first = np.unique((keys[sent] >> BITS)[order], return_index=True)
+                    rows += deal(CENTERS, names, names, docs[sent][order][first])
             if stats:
                 rows.append((turn % tasks, STATS, _payload(*(np.array(c) for c in zip(*stats, strict=True)))))
             if deficient:
@@ -264,8 +298,8 @@ def _emit(seed: int, tasks: int, common):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's keys become pairs with each key's first document; all else passes through."""
-    keys, docs = [], []
+    """One task's keys become pairs with each key's first document, and its crowds' centers are tied to that; all else passes through."""
+    keys, docs, names, lots = [], [], [], []
 
     def rows(kind: int, columns: list) -> pa.RecordBatch:
         n = len(columns[0])
@@ -278,10 +312,18 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == KEYS:
                 keys.append(table[:, 0].view(np.uint64).copy())
                 docs.append(table[:, 1].copy())
+            elif kind == CENTERS:
+                names.append(table[:, 0].view(np.uint64).copy())
+                lots.append(table[:, 1].copy())
             else:
                 yield rows(kind, list(table.T))
     if keys:
-        doc, center, shared, _, _ = _stars(np.concatenate(keys), np.concatenate(docs), 0)
+        keys, docs = [np.concatenate(keys)], [np.concatenate(docs)]
+        if names:
+            ties = _ties(keys[0], docs[0], np.concatenate(names), np.concatenate(lots))
+            if len(ties[0]):
+                yield rows(TIES, list(ties))
+        doc, center, shared, _, _ = _stars(keys.pop(), docs.pop(), 0)
         for i in range(0, len(doc), 500_000):
             yield rows(PAIRS, [c[i : i + 500_000] for c in (doc, center, shared)])
 
@@ -396,7 +438,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stats = found.where(F.col("kind") == STATS).select(F.col("w").alias("doc_id"), F.col("x").alias("n_shingles"), F.col("y").alias("h1"), F.col("z").alias("h2"))
     classes = stats.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first"))
     member = settle(stats.distinct().join(classes, ["n_shingles", "h1", "h2"]).where("first <> doc_id").select(F.col("doc_id").alias("node"), F.col("first").alias("component")), "classes", few=True)
-    star = found.where(F.col("kind") == PAIRS).select(F.col("w").alias("doc"), F.col("x").alias("center"), F.col("y").alias("shared"))
+    star = found.where(F.col("kind").isin(PAIRS, CROWDED)).select(F.col("w").alias("doc"), F.col("x").alias("center"), F.col("y").alias("shared"))
+    # A crowd's documents meet those of the key's other lots about the key's center.
+    ties = found.where(F.col("kind") == TIES).select(F.col("w").alias("lot"), F.col("x").alias("center")).distinct()
+    crowd = found.where(F.col("kind") == CROWDED).select(F.col("w").alias("doc"), F.col("x").alias("lot")).distinct()
+    star = star.union(crowd.join(ties, "lot").where("doc <> center").select("doc", "center", F.lit(0).cast("long").alias("shared")))
     star = star.groupBy("doc", "center").agg(F.sum("shared").alias("shared"))
     star = _component(_component(star, member, "doc", "a"), member, "center", "b").where("a <> b")
     star = settle(star.groupBy("a", "b").agg(F.max("shared").alias("shared")), "stars", few=True)

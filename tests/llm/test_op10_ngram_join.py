@@ -122,3 +122,16 @@ def test_sets_are_whole_texts():
     text = " ".join(f"w{i}" for i in range(30_000))
     (row, tokens), (_, short) = nj.shingle_sets(pa.array([text, "a B"]))
     assert row == 0 and len(tokens) == 29_996 and len(short) == 1
+
+
+def test_crowds_of_several_lots_meet(spark, monkeypatch):
+    """Similar documents that share only a key which is a crowd's in each of their lots are linked, though the crowds' centers aren't."""
+    monkeypatch.setattr(nj, "CROWD", 2)
+    monkeypatch.setattr(nj, "keys_of", lambda tokens, seed, common=None: (np.array([8], np.uint64), False))
+    rng = random.Random(5)
+    near = family(rng, 4, 60, 1)
+    rows = list(enumerate(t for n in range(4) for t in (*(family(rng, 1, 60, 0)[0] for _ in range(3)), near[n])))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    got = nj.similar_documents(docs).collect()
+    assert len({r.component_id for r in got}) == 13
+    assert sorted(map(tuple, got), key=str) == brute(rows)
