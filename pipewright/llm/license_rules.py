@@ -30,7 +30,7 @@ isc 75 isc: isc (license|licence)
 bsd-4-clause 92 advertising: all advertising materials mentioning features or use of this software must display
 bsd-4-clause 85 bsd: (4|four) clause bsd (license|licence)?
 bsd-4-clause 80 bsd: original bsd (license|licence)
-bsd-3-clause 92 endorse: neither the names? of @12 nor the names of its contributors may be used to endorse or promote products
+bsd-3-clause 92 endorse: neither the (name|names) of @12 nor the names of its contributors may be used to endorse or promote products
 bsd-3-clause 85 bsd: (3|three) clause bsd (license|licence)?
 bsd-3-clause 85 bsd: bsd (3|three) clause (license|licence)?
 bsd-3-clause 82 bsd: (new|modified|revised) bsd (license|licence)

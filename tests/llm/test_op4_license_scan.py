@@ -60,3 +60,25 @@ def test_rules_are_sound():
     for _, priority, _, rx in RULES:
         re.compile(rx)
         assert 0 < priority <= 100
+
+
+def test_long_notices_have_their_labels(spark):
+    gnu = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    notices = {
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that",
+        "bsd-4-clause": "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+        "bsd-3-clause": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "gpl-2.0-or-later": "under the terms of the GNU General Public License " + gnu.format("2"),
+        "lgpl-2.1-or-later": "under the terms of the GNU Lesser General Public License " + gnu.format("2.1"),
+        "agpl-3.0-or-later": "under the terms of the GNU Affero General Public License " + gnu.format("3"),
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "zlib": "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "json": "The Software shall be used for Good, not Evil.",
+    }
+    rows = list(notices.items()) + [("bsd-3-clause", "Neither the names of Acme nor the names of its contributors may be used to endorse or promote products")]
+    got = license_scan.scan_licenses(table(spark, rows, "label string, text string")).collect()
+    assert [r.label for r in got if r.label not in r.labels.split(",")] == []
