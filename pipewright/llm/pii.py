@@ -50,7 +50,8 @@ PATTERNS = (
     ("name", rf"\b(?:{'|'.join(TITLES)})\.? {WORD}(?: {WORD})?"),
 )
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_HINT = re.compile(rf"\d{{3}}|@|[0-9a-fA-F]{{32}}|\d\.\d|(?i:token|secret|password|api_key)|\b(?:{'|'.join(TITLES)})\b")
+#: and what each match of any of these holds a match of, so that a text without it has none.
+_HINT = re.compile(rf"\d{{3}}|@|\+\d|[0-9a-fA-F]{{32}}|\d\.\d|[A-Z]{{2}}\d{{2}}|AKIA|ASIA|ghp_|(?i:token|secret|password|api_key)|\b(?:{'|'.join(TITLES)})\b")
 
 
 # ------------------------------------------------------------------ permutations
