@@ -30,6 +30,9 @@ NAMES = {
     ("m", "cyrillic"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Павел".split(),
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Dr": "", "Prof": ""}
+TITLES |= {t: g for k, g in {"господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f", "доктор": "", "профессор": ""}.items() for t in (k, k.capitalize())}
+#: FIXED VALUES: words that aren't taken for a name where they recur without a title.
+NO_NAMES = frozenset("A An And Are As At But By For From Had Has Have He Her His How I If In Is It Its My No Not Of On Or Our She So That The Their They This To Was We Were What When Where Who Why Will With You Your И В Во На Он Она Они Мы Вы Я Но Не По С К А".split())
 _GENDER = {n.lower(): k for k, names in NAMES.items() for n in names}
 
 #: FIXED VALUES: alphabets that a character is replaced within.
@@ -37,14 +40,14 @@ ALPHABETS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèé
 _PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 _HEX = "0123456789abcdef"
 
-WORD = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+"
+WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 #: What is looked for, the first that matches at a place;
 PATTERNS = (
     ("email", r"[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+"),
     ("secret", r"(?i:(?<=token = [\"'])|(?<=token=[\"'])|(?<=secret = [\"'])|(?<=password = [\"'])|(?<=api_key = [\"']))[^\s\"']{6,}(?=[\"'])|(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bghp_[A-Za-z0-9]{36}\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("phone", r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
+    ("phone", r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])(?=\+(?:[ .()-]{0,2}\d){8})\+(?!1\D)\d{1,3}(?P<gap>[ .-])(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:(?P=gap)?\d{1,4}){1,7}(?!\d)|(?<![\d+])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.])\d{13,19}(?![\d.]\d)|(?<!\d)\d{4}(?:[ -]\d{4}){3}(?!\d)"),
     ("name", rf"\b(?:{'|'.join(TITLES)})\.? {WORD}(?: {WORD})?"),
@@ -187,19 +190,54 @@ def _cached(kind: str, text: str, key: bytes) -> str:
     return surrogate(kind, text, key)
 
 
-def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """A text without its entities, and (kind, entity, surrogate) of each."""
+def _parts(name: str, new: str) -> Iterator[tuple[str, str, str]]:
+    """(word, its surrogate, its role) of the words behind a name's title."""
+    words, others = name.split(" ")[1:], new.split(" ")[1:]
+    gender = TITLES[name.split(" ")[0].rstrip(".")]
+    for k, (word, other) in enumerate(zip(words, others, strict=True)):
+        listed = k == 0 and word.lower() in _GENDER
+        yield word, other, "listed" if listed else f"first{gender}" if k == 0 and len(words) > 1 else "last"
+
+
+def _replaced(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]], list[tuple[str, str, str]]]:
+    """A text without its entities, (kind, entity, surrogate) of each, and the words of its names that recur, as such with their roles."""
     if not text or not _HINT.search(text):
-        return text, []
-    found: list[tuple[str, str, str]] = []
+        return text, [], []
+    spans, parts = [], {}
+    for m in _ANY.finditer(text):
+        s = _cached(m.lastgroup, m[0], key)
+        spans.append((m.start(), m.end(), m.lastgroup, s))
+        if m.lastgroup == "name":
+            for word, new, role in _parts(m[0], s):
+                if word not in NO_NAMES:
+                    parts.setdefault(word, (new, role))
+                    parts.setdefault(word.upper(), (new.upper(), role))
+    recur = {}
+    if parts:
+        one = "|".join(sorted(parts, key=len, reverse=True))
+        taken = iter([*spans, (len(text), len(text), "", "")])
+        entity, mentions = next(taken), []
+        for m in re.finditer(rf"(?<!\w)(?:{one})(?: (?:{one}))*(?!\w)", text):
+            while entity[1] <= m.start() < len(text):
+                entity = next(taken)
+            if m.end() <= entity[0]:
+                words = m[0].split(" ")
+                mentions.append((m.start(), m.end(), "name", " ".join(parts[w][0] for w in words)))
+                recur.update((w, parts[w]) for w in words)
+        spans = sorted(spans + mentions)
+    out, at = [], 0
+    for start, end, _, s in spans:
+        out += (text[at:start], s)
+        at = end
+    return "".join([*out, text[at:]]), [(kind, text[a:b], s) for a, b, kind, s in spans], [(f"name, {role}", w, s) for w, (s, role) in recur.items()]
 
-    def new(m: re.Match) -> str:
-        kind, old = m.lastgroup, m[0]
-        s = _cached(kind, old, key)
-        found.append((kind, old, s))
-        return s
 
-    return _ANY.sub(new, text), found
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """A text without its entities, and (kind, entity, surrogate) of each.
+
+    The words of a name with a title are replaced wherever they recur in the text, alone or together.
+    """
+    return _replaced(text, key)[:2]
 
 
 def _entities(place: int, key: bytes):
@@ -207,7 +245,9 @@ def _entities(place: int, key: bytes):
         for batch in batches:
             seen: set[tuple[str, str, str]] = set()
             for text in batch.column(place):
-                for kind, old, new in replace(text.as_py(), key)[1]:
+                # A word of a name is compared with those of its role: a first name may well be another's last.
+                _, found, words = _replaced(text.as_py(), key)
+                for kind, old, new in found if not words else [f for f in found if f[0] != "name" or " " in f[1] and f[1].split(" ")[0].rstrip(".") in TITLES] + words:
                     digest = hashlib.blake2b(_same(kind, old).encode(), digest_size=16).hexdigest()
                     seen.add((kind, "=" if _same(kind, new) == _same(kind, old) else digest, _same(kind, new)))
             rows = sorted(seen)
@@ -234,7 +274,8 @@ def distinct_key(docs: DataFrame, key: bytes, text_col: str = "text") -> bytes:
 def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", checked: bool = True) -> DataFrame:
     """All columns of docs with the text's entities replaced, and n_entities and entity_kinds added.
 
-    Kinds: email, secret, ip, iban, phone, ssn, card, name (with a title). All else in a text stays as it
+    Kinds: email, secret, ip, iban, phone, ssn, card, name (with a title, and its words wherever they
+    recur in that text, capitalised or in capitals). All else in a text stays as it
     is. Null text stays null, without entities. Repeated rows get equal results; columns of the input that
     have the names of the new ones are replaced. One pass without a shuffle, behind the check of
     ``distinct_key`` (left out with ``checked=False`` where the key was checked before).

@@ -91,3 +91,30 @@ def test_no_entity_is_passed_over():
     for kind, cases in shortest.items():
         for text in cases:
             assert [f[0] for f in pii.replace(f"use {text} now", KEY)[1]] == [kind], text
+
+
+def test_names_recur_without_their_title():
+    text = "Mr John Smith said so. Smith left, then John Smith's car; SMITH & Co, Smithson, smith, john.smith@mail.example.com."
+    new, found = pii.replace(text, KEY)
+    first, last = new.split()[1:3]
+    mail = found[-1][2]
+    assert {first, last}.isdisjoint({"John", "Smith"}) and first in pii.NAMES["m", "latin"]
+    assert new == f"Mr {first} {last} said so. {last} left, then {first} {last}'s car; {last.upper()} & Co, Smithson, smith, {mail}."
+    assert [f[0] for f in found] == ["name"] * 4 + ["email"]
+    new = pii.replace("Госпожа Анна Петрова и г-н Иван Петров. Анна ушла, Петров остался.", KEY)[0].replace(".", "").replace(",", "").split()
+    assert new[1] == new[7] and new[6] == new[9] and not {"Анна", "Петрова", "Иван", "Петров"} & set(new)
+    assert pii.replace("Dr Who Is here. Who is it? Is it?", KEY)[0].endswith(" here. Who is it? Is it?")
+
+
+def test_numbers_of_short_and_many_groups():
+    for text in ("+33 1 42 68 53 00", "+33 6 12 34 56 78", "+32 2 123 45 67", "+33.1.42.68.53.00", "+49 30 12 34 56 78", "+33 (0)1 42 68 53 00", "+44 20 7946 0958"):
+        new, found = pii.replace(f"call {text} now", KEY)
+        assert [f[:2] for f in found] == [("phone", text)]
+        assert new != f"call {text} now" and new.split()[1].startswith(text[:3])
+    for text in ("+1 or +2", "+3 5 7", "2 +33 4 apples"):
+        assert pii.replace(text, KEY) == (text, [])
+
+
+def test_words_of_names_are_told_apart(spark):
+    docs = table(spark, [(1, "Mr John Smith. Smith left."), (2, "Ms Ann Smith. Smith, Ann Smith."), (3, "Mr Smith and Smith")], "doc_id long, text string")
+    assert pii.distinct_key(docs, KEY) == KEY
