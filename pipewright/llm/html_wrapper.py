@@ -27,7 +27,6 @@ from .common import lean, settle, slices, texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-PLAIN = frozenset("a abbr b bdi bdo big cite code del dfn em font i kbd label mark q s samp small strike strong sub sup time tt u var".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "option", "optgroup"}
 #: An element that begins ends an open one of these, up to an element of the second row.
 ENDS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table thead tbody tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("thead tbody tr td th", "table"), "body": ("head", "html")}
@@ -47,6 +46,7 @@ HEADER_WORDS = frozenset("header pageheader siteheader".split())
 MAIN_WORDS = frozenset(("articlebody", "articlecontent", "postcontent", "entrycontent", "maincontent", "storybody"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_MARKING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)  # without any of these only its tag can mark an element
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -149,20 +149,21 @@ class Page:
                 put(" ") if tag == "br" and current is not None else None
                 current = None if tag == "hr" else current
                 continue
-            if tag == "a":
-                links += 1
             if tag not in BLOCK:
-                if tag not in VOID and tag not in PLAIN and _marks(tag, m[3])[1]:
+                place = at
+                if tag not in VOID and (tag in OTHER or _MARKING.search(m[3])) and _marks(tag, m[3])[1]:
                     # An inline element that marks other text goes with all it holds.
                     current = None
                     end = re.compile(rf"</?{re.escape(tag)}\b[^>]*>", re.IGNORECASE)
-                    depth, place = 1, at
+                    depth = 1
                     for e in end.finditer(text, at):
                         depth += -1 if e[0][1] == "/" else 1
                         if not depth:
                             place = e.end()
                             break
-                    at = place
+                if tag == "a" and place == at:
+                    links += 1
+                at = place
                 continue
             current, links = None, 0
             if tag in CLOSES_P:

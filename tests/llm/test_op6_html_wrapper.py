@@ -66,3 +66,12 @@ def test_edges(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((str(r.page_id), r.n_chars) for r in out.collect()) == [("7", 1), ("7", 1), ("8", 60_000 * 5 - 1), ("None", 1)]
     assert hw.main_text(table(spark, [], SCHEMA)).collect() == []
+
+
+def test_marked_inline_elements_are_left_out():
+    for marked in ("<small class='advert'>no</small>", "<mark class=notice>no</mark>", "<font style='display:none'>no</font>", "<time hidden>no</time>", "<a class='sponsored' href=x>no</a>", "<a href=x CLASS='skip'>no</a>", "<em id=cookie>no <em>no</em></em>", "<label>no</label>"):
+        assert blocks(f"<article><p>one {marked} two</p><p>three</p></article>") == "one two three", marked
+    for kept in ("<small>two</small>", "<em class=strong>two</em>", "<a href='/id/style'>two</a>", "<code lang=x>two</code>"):
+        assert blocks(f"<article><p>one {kept} three</p></article>") == "one two three", kept
+    # A link that is left out doesn't make the words after it linked.
+    assert hw.Page("<p><a class=skip>no</a> two words</p>").blocks[0][2:] == (2, 0)
