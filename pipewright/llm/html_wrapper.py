@@ -3,7 +3,8 @@
 A page becomes a tree of its block elements in which siblings of one label (tag and class) are one node,
 so a page's tree shows its layout and not its length. Of a host's trees the most frequent is the
 reference. Every other is aligned with it by simple tree matching: the largest set of node pairs of equal
-label that keeps parents and the order of siblings. Texts are then compared node by node over all pages
+label that keeps parents and the order of siblings. Nodes that the reference lacks are aligned with those
+of one label below one parent in further layouts. Texts are then compared node by node over all pages
 of the host: a node whose text never changes is template, a slot that varies is content. Besides, what
 a page marks as something else by its elements (menus, forms, ...) is none of its main text, and a page
 that marks its article has its main text there.
@@ -11,6 +12,7 @@ that marks its article has its main text there.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import json
 import re
@@ -273,12 +275,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, trees, blocks], names=["page_id", "url", "host", "tree", "blocks"])
 
 
+def _places(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[str]:
+    """The place of each node of a: its counterpart in b, else its label below its parent's place, which further layouts may share."""
+    pairs = {k: k for k in range(len(a))} if a == b else simple_tree_matching(a, b)
+    out: list[str] = []
+    for k, (parent, label) in enumerate(a):
+        above = out[parent] if parent >= 0 else ""
+        out.append(str(pairs[k]) if k in pairs else "+" + hashlib.blake2b(f"{above}/{label}".encode(), digest_size=12).hexdigest())
+    return out
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for tree, reference in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for layout, to, tree, reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a, b = ([tuple(x) for x in json.loads(t)] for t in (tree, reference))
-            pairs = {k: k for k in range(len(a))} if tree == reference else simple_tree_matching(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array([tree] * len(pairs), pa.string()), pa.array([reference] * len(pairs), pa.string()), pa.array(list(pairs), pa.int32()), pa.array(list(pairs.values()), pa.int32())], names=["tree", "reference", "node", "slot"])
+            places = _places(a, b)
+            n = len(places)
+            yield pa.RecordBatch.from_arrays([pa.array([layout] * n, pa.int64()), pa.array([to] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(places, pa.string())], names=["layout", "to", "node", "place"])
 
 
 MIN_PAGES = 3  # different pages of a host that must agree on a node's text before it is template
@@ -295,27 +308,30 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages costs no more than others. Layouts, not pages, are aligned.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages")
+    parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages").withColumn("layout", F.xxhash64("tree"))
     one = F.count(F.lit(1))
-    layouts = settle(parsed.groupBy("host", "tree").agg(one.alias("n")), "layouts", few=True)
-    reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"))
-    of = layouts.join(reference, "host").select("host", "tree", "reference")
-    aligned = of.select("tree", "reference").distinct().mapInArrow(lean(_align), "tree string, reference string, node int, slot int")
+    layouts = settle(parsed.groupBy("host", "layout", "tree").agg(one.alias("n")), "layouts", few=True)
+    reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference")).withColumn("to", F.xxhash64("reference"))
+    of = layouts.join(reference, "host")
+    aligned = of.select("layout", "to", "tree", "reference").distinct().mapInArrow(lean(_align), "layout long, to long, node int, place string")
     # A page's text at a node is one string, whatever the number of its blocks there.
-    of_node = parsed.where("size(blocks) > 0").select("host", "tree", F.xxhash64("blocks.text").alias("page"), "blocks", F.explode(F.array_distinct("blocks.node")).alias("node"))
+    of_node = parsed.where("size(blocks) > 0").select("host", "layout", F.xxhash64("blocks.text").alias("page"), "blocks", F.explode(F.array_distinct("blocks.node")).alias("node"))
     mine = F.filter("blocks", lambda b: b["node"] == F.col("node"))
-    value = of_node.select("host", "tree", "node", "page", F.xxhash64(F.transform(mine, lambda b: b["text"])).alias("text"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["words"]).alias("words"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["linked"]).alias("linked"))
-    sums = value.groupBy("host", "tree", "node").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.approx_count_distinct("page").alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    slots = sums.join(of, ["host", "tree"]).join(aligned, ["tree", "reference", "node"], "left")
-    # A node with no counterpart in the reference is a slot of its own layout.
-    slots = slots.withColumn("place", F.when(F.col("slot").isNotNull(), F.col("slot").cast("string")).otherwise(F.concat_ws("|", F.col("node").cast("string"), "tree")))
-    over = slots.groupBy("host", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("pages").alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    article = F.col("tree").rlike(r'"(?:article|main)[."]')
-    template = (F.col("low") == F.col("high")) & (F.col("pages") >= MIN_PAGES)
+    value = of_node.select("host", "layout", "node", F.xxhash64(F.transform(mine, lambda b: b["text"])).alias("text"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["words"]).alias("words"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["linked"]).alias("linked"))
+    sums = value.groupBy("host", "layout", "node").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    article = F.col("tree").rlike(r'"(?:article|main)[."]').alias("article")
+    slots = settle(sums.join(of.select("host", "layout", "to", article), ["host", "layout"]).join(aligned, ["layout", "to", "node"]), "slots", few=True)
+    over = slots.groupBy("host", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    template = F.col("low") == F.col("high")
     menu = F.col("linked") > LINKED * F.col("words")
-    wrapper = slots.select("host", "tree", "node", "place").join(over, ["host", "place"]).where(template | (menu & ~article & (F.col("pages") >= MIN_PAGES)))
-    wrapper = settle(wrapper.groupBy("host", "tree").agg(F.collect_set("node").alias("dropped")), "wrappers", few=True)
-    full = parsed.join(wrapper, ["host", "tree"], "left")
+    over = over.select("host", "place", template.alias("template"), menu.alias("menu")).where("template OR menu")
+    likely = settle(slots.select("host", "layout", "node", "place", "article").join(over, ["host", "place"]).where("template OR NOT article"), "likely", few=True)
+    # Different pages are counted over all layouts of a place, and only where that decides.
+    seen = of_node.select("host", "layout", "node", "page").join(likely.select("host", "layout", "node", "place"), ["host", "layout", "node"])
+    enough = seen.select("host", "place", "page").distinct().groupBy("host", "place").agg(one.alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    wrapper = likely.join(enough, ["host", "place"], "left_semi")
+    wrapper = settle(wrapper.groupBy("host", "layout").agg(F.collect_set("node").alias("dropped")), "wrappers", few=True)
+    full = parsed.join(wrapper, ["host", "layout"], "left")
     left = F.when(F.col("dropped").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["node"])))
     text = F.coalesce(F.array_join(F.transform(left, lambda b: b["text"]), " "), F.lit(""))
     return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -75,3 +75,21 @@ def test_marked_inline_elements_are_left_out():
         assert blocks(f"<article><p>one {kept} three</p></article>") == "one two three", kept
     # A link that is left out doesn't make the words after it linked.
     assert hw.Page("<p><a class=skip>no</a> two words</p>").blocks[0][2:] == (2, 0)
+
+
+def test_pages_count_over_all_layouts(spark):
+    extras = ["<h3>x{}</h3>", "<ul><li>y{}</ul>", "<table><tr><td>z{}</table>", "<blockquote>q{}</blockquote>", "<pre>p{}</pre>"]
+
+    def page(i):
+        # Each page has a layout of its own; all but the first, the reference or not, have a banner that never changes.
+        banner = "<div class=strip>Buy our things now</div>" if i else ""
+        return f"<body><div class=lead>Welcome to our site</div>{banner}<div class=links><a href=1>Home {i}</a></div><div class=story><p>Body of {i} is a text</p>{extras[i].format(i)}</div></body>"
+
+    got = extract(spark, [(f"http://own.example/{i}", page(i)) for i in range(5)])
+    assert [got[i] for i in range(5)] == [f"Body of {i} is a text {x}{i}" for i, x in enumerate("xyzqp")]
+
+
+def test_nodes_beyond_the_reference_are_aligned():
+    reference = [(-1, "body"), (0, "p")]
+    one, two = hw._places([(-1, "body"), (0, "div.x"), (1, "p"), (0, "p")], reference), hw._places([(-1, "body"), (0, "p"), (0, "ul"), (0, "div.x"), (3, "p")], reference)
+    assert one[0] == two[0] == "0" and one[3] == two[1] == "1" and one[1:3] == two[3:] and len({*one, *two}) == 5
