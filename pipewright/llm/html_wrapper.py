@@ -5,9 +5,9 @@ so a page's tree shows its layout and not its length. Of a host's trees the most
 reference. Every other is aligned with it by simple tree matching: the largest set of node pairs of equal
 label that keeps parents and the order of siblings. Nodes that the reference lacks are aligned with those
 of one label below one parent in further layouts. Texts are then compared node by node over all pages
-of the host: a node whose text never changes is template, a slot that varies is content. Besides, what
-a page marks as something else by its elements (menus, forms, ...) is none of its main text, and a page
-that marks its article has its main text there.
+of the host: a node whose text never changes is template, unless it is longer than what differs between
+pages; a slot that varies is content. Besides, what a page marks as something else by its elements (menus,
+forms, ...) is none of its main text, and a page that marks its article has its main text there, all of it.
 """
 
 from __future__ import annotations
@@ -76,10 +76,10 @@ class Page:
     """The tree of a page and its blocks of text.
 
     nodes: (parent, label) in the order of their first appearance; blocks: (node, text, words, words in
-    links) in page order, of nodes that may hold main text.
+    links) in page order, of nodes that may hold main text. marked: they are of a main region it marks.
     """
 
-    __slots__ = ("nodes", "blocks")
+    __slots__ = ("nodes", "blocks", "marked")
 
     def __init__(self, text: str):
         self.nodes: list[tuple[int, str]] = []
@@ -189,7 +189,7 @@ class Page:
             _, parent, in_other, in_header, in_main = stack[-1]
             stack.append((tag, node_of(parent, label), in_other or other, in_header or header and not in_main, in_main or main and not in_other))
 
-        marked = any(r[5] and not r[3] for r in raw)
+        self.marked = marked = any(r[5] and not r[3] for r in raw)
         self.blocks = []
         for node, pieces, linked, other, header, main in raw:
             if other or (header and not main) or (marked and not main):
@@ -259,7 +259,7 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_PARSED = "page_id long, url string, host string, tree string, blocks array<struct<node:int,text:string,words:int,linked:int>>"
+_PARSED = "page_id long, url string, host string, tree string, marked boolean, blocks array<struct<node:int,text:string,words:int,linked:int>>"
 _BLOCK_TYPE = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("linked", pa.int32())]))
 
 
@@ -272,7 +272,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts = pa.array([_host(u) for u in batch.column(1).to_pylist()], pa.string())
             trees = pa.array([json.dumps(p.nodes, separators=(",", ":")) for p in pages], pa.string())
             blocks = pa.array([[dict(zip(("node", "text", "words", "linked"), b, strict=True)) for b in p.blocks] for p in pages], _BLOCK_TYPE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, trees, blocks], names=["page_id", "url", "host", "tree", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, trees, pa.array([p.marked for p in pages], pa.bool_()), blocks], names=["page_id", "url", "host", "tree", "marked", "blocks"])
 
 
 def _places(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[str]:
@@ -310,7 +310,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages").withColumn("layout", F.xxhash64("tree"))
     one = F.count(F.lit(1))
-    layouts = settle(parsed.groupBy("host", "layout", "tree").agg(one.alias("n")), "layouts", few=True)
+    layouts = settle(parsed.groupBy("host", "layout", "tree").agg(one.alias("n"), F.count(F.when(F.size("blocks") > 0, 1)).alias("filled")), "layouts", few=True)
     reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference")).withColumn("to", F.xxhash64("reference"))
     of = layouts.join(reference, "host")
     aligned = of.select("layout", "to", "tree", "reference").distinct().mapInArrow(lean(_align), "layout long, to long, node int, place string")
@@ -318,12 +318,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     of_node = parsed.where("size(blocks) > 0").select("host", "layout", F.xxhash64("blocks.text").alias("page"), "blocks", F.explode(F.array_distinct("blocks.node")).alias("node"))
     mine = F.filter("blocks", lambda b: b["node"] == F.col("node"))
     value = of_node.select("host", "layout", "node", F.xxhash64(F.transform(mine, lambda b: b["text"])).alias("text"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["words"]).alias("words"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["linked"]).alias("linked"))
-    sums = value.groupBy("host", "layout", "node").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+    sums = value.groupBy("host", "layout", "node").agg(F.min("text").alias("low"), F.max("text").alias("high"), one.alias("rows"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
     article = F.col("tree").rlike(r'"(?:article|main)[."]').alias("article")
     slots = settle(sums.join(of.select("host", "layout", "to", article), ["host", "layout"]).join(aligned, ["layout", "to", "node"]), "slots", few=True)
-    over = slots.groupBy("host", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    template = F.col("low") == F.col("high")
+    over = slots.groupBy("host", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
     menu = F.col("linked") > LINKED * F.col("words")
+    # Pages that differ in less text than a node holds are near copies, and the node may be what they are about.
+    differ = over.where((F.col("low") != F.col("high")) & ~menu).groupBy("host").agg(F.sum("words").alias("differ"))
+    over = over.join(layouts.groupBy("host").agg(F.sum("filled").alias("filled")), "host").join(differ, "host", "left").fillna(0, ["differ"])
+    template = (F.col("low") == F.col("high")) & (F.col("words") * F.col("filled") <= F.col("differ") * F.col("rows"))
     over = over.select("host", "place", template.alias("template"), menu.alias("menu")).where("template OR menu")
     likely = settle(slots.select("host", "layout", "node", "place", "article").join(over, ["host", "place"]).where("template OR NOT article"), "likely", few=True)
     # Different pages are counted over all layouts of a place, and only where that decides.
@@ -332,6 +335,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     wrapper = likely.join(enough, ["host", "place"], "left_semi")
     wrapper = settle(wrapper.groupBy("host", "layout").agg(F.collect_set("node").alias("dropped")), "wrappers", few=True)
     full = parsed.join(wrapper, ["host", "layout"], "left")
-    left = F.when(F.col("dropped").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["node"])))
+    left = F.when(F.col("dropped").isNull() | F.col("marked"), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["node"])))
     text = F.coalesce(F.array_join(F.transform(left, lambda b: b["text"]), " "), F.lit(""))
     return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

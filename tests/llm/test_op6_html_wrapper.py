@@ -93,3 +93,12 @@ def test_nodes_beyond_the_reference_are_aligned():
     reference = [(-1, "body"), (0, "p")]
     one, two = hw._places([(-1, "body"), (0, "div.x"), (1, "p"), (0, "p")], reference), hw._places([(-1, "body"), (0, "p"), (0, "ul"), (0, "div.x"), (3, "p")], reference)
     assert one[0] == two[0] == "0" and one[3] == two[1] == "1" and one[1:3] == two[3:] and len({*one, *two}) == 5
+
+
+def test_near_copies_keep_their_article(spark):
+    body = " ".join(f"word{k}" for k in range(40))
+    marked = [f"<div class=lead>Hello</div><article><h1>Title {i}</h1><h2>Summary</h2><p>By Ann</p><div class=x>{body}</div></article>" for i in range(4)]
+    plain = [f"<div class=lead>Hello</div><h1>Title {i}</h1><p>{body}</p>" for i in range(4)]
+    got = extract(spark, [(f"http://{host}.example/{i}", html) for host, htmls in (("a", marked), ("b", plain)) for i, html in enumerate(htmls)])
+    assert [got[i] for i in range(4)] == [f"Title {i} Summary By Ann {body}" for i in range(4)]
+    assert [got[4 + i] for i in range(4)] == [f"Title {i} {body}" for i in range(4)]
