@@ -1,13 +1,20 @@
 """Main text of web pages by wrapper induction (operator 6).
 
-A page becomes a tree of its block elements in which siblings of one label (tag and class) are one node,
-so a page's tree shows its layout and not its length. Of a host's trees the most frequent is the
-reference. Every other is aligned with it by simple tree matching: the largest set of node pairs of equal
-label that keeps parents and the order of siblings. Nodes that the reference lacks are aligned with those
-of one label below one parent in further layouts. Texts are then compared node by node over all pages
-of the host: a node whose text never changes is template, unless it is longer than what differs between
-pages; a slot that varies is content. Besides, what a page marks as something else by its elements (menus,
-forms, ...) is none of its main text, and a page that marks its article has its main text there, all of it.
+A page becomes a tree of its block elements. Siblings stay apart, but paragraphs, items, cells and the like
+of one parent, and all of one label beyond ``SIBLINGS``, are one node, an iterated slot. Of a host's trees
+the most frequent is the reference. Every other is aligned with it by simple tree matching: the largest set of node pairs of
+equal label that keeps parents and the order of siblings. Nodes that the reference lacks are aligned with
+those of one label below one parent in further layouts.
+
+Texts are then compared slot by slot over all pages of the host. A text that stands in a slot on nearly all
+pages that have the slot, and on three different ones, is template; what varies is content, but for slots
+that mostly link (menus). The main region is the deepest container that holds nearly all the content of
+the host's pages. There a page has its main text: all in the region that isn't template.
+
+What elements, roles and class words mark counts where the wrapper can't tell: for a text that varies in
+the region (a comment, an advert), and for pages of hosts without a wrapper, which are those with fewer
+than three different pages, without such a region, or with more that is constant than that varies (near
+copies are about what they share). There a page that marks its article has its main text there, all of it.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ import hashlib
 import html as html_
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,6 +54,10 @@ OTHER_WORDS = frozenset(
 HEADER_WORDS = frozenset("header pageheader siteheader".split())
 MAIN_WORDS = frozenset(("articlebody", "articlecontent", "postcontent", "entrycontent", "maincontent", "storybody"))
 
+#: FIXED VALUES: elements of which all siblings of one label are one slot.
+FLOW = frozenset("p li h1 h2 h3 h4 h5 h6 tr td th dt dd option pre blockquote figcaption caption legend summary address".split())
+SIBLINGS = 16  # of any other label that are told apart
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _MARKING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)  # without any of these only its tag can mark an element
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -72,30 +83,35 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return label, other, header, main and not other
 
 
+#: What marks say of a block: nothing, other text, text of a main region, a page's header.
+PLAIN, ASIDE, MAIN, HEADER = 0, 1, 2, 3
+
+
 class Page:
     """The tree of a page and its blocks of text.
 
-    nodes: (parent, label) in the order of their first appearance; blocks: (node, text, words, words in
-    links) in page order, of nodes that may hold main text. marked: they are of a main region it marks.
+    nodes: (parent, label, whether it is a main region) in the order they begin; blocks: (node, text, words,
+    words in links, mark) in page order. marked: some block is of a main region that the page marks.
     """
 
     __slots__ = ("nodes", "blocks", "marked")
 
     def __init__(self, text: str):
-        self.nodes: list[tuple[int, str]] = []
-        children: dict[tuple[int, str], int] = {}
+        self.nodes: list[tuple[int, str, int]] = []
+        children: dict[tuple[int, str], list[int]] = {}
         # Open elements: tag, node, whether in other text, in a header, in a main region.
         stack: list[tuple[str, int, bool, bool, bool]] = [("", -1, False, False, False)]
-        raw: list[list] = []  # [node, pieces, linked characters, other, header, main]
+        raw: list[list] = []  # [node, pieces, linked words, other, header, main]
         current: list | None = None
         links, at, n = 0, 0, len(text)
 
-        def node_of(parent: int, label: str) -> int:
-            k = children.get((parent, label))
-            if k is None:
-                k = children[parent, label] = len(self.nodes)
-                self.nodes.append((parent, label))
-            return k
+        def node_of(parent: int, tag: str, label: str, main: bool) -> int:
+            same = children.setdefault((parent, label), [])
+            if len(same) >= (1 if tag in FLOW else SIBLINGS):
+                return same[-1]
+            same.append(len(self.nodes))
+            self.nodes.append((parent, label, int(main)))
+            return same[-1]
 
         def put(piece: str) -> None:
             nonlocal current
@@ -187,80 +203,158 @@ class Page:
                     del stack[last:]
             label, other, header, main = _marks(tag, m[3])
             _, parent, in_other, in_header, in_main = stack[-1]
-            stack.append((tag, node_of(parent, label), in_other or other, in_header or header and not in_main, in_main or main and not in_other))
+            stack.append((tag, node_of(parent, tag, label, main), in_other or other, in_header or header and not in_main, in_main or main and not in_other))
 
-        self.marked = marked = any(r[5] and not r[3] for r in raw)
-        self.blocks = []
+        self.marked = any(r[5] and not r[3] for r in raw)
+        self.blocks: list[tuple[int, str, int, int, int]] = []
         for node, pieces, linked, other, header, main in raw:
-            if other or (header and not main) or (marked and not main):
-                continue
             joined = "".join(pieces)
             shown = (html_.unescape(joined) if "&" in joined else joined).split()
             if shown:
-                self.blocks.append((node, " ".join(shown), len(shown), min(linked, len(shown))))
+                mark = ASIDE if other else MAIN if main else HEADER if header else PLAIN
+                self.blocks.append((node, " ".join(shown), len(shown), min(linked, len(shown)), mark))
+
+    def shown(self) -> list[tuple[int, str, int, int, int]]:
+        """The blocks that the page's own marks leave: those of its main regions, where it has any."""
+        return [b for b in self.blocks if b[4] == MAIN or b[4] == PLAIN and not self.marked]
 
 
 # ------------------------------------------------------------------ alignment
-def simple_tree_matching(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> dict[int, int]:
-    """The largest matching of two trees that keeps labels, parents and sibling order: nodes of a to nodes of b."""
-    kids = []
-    for tree in (a, b):
-        of: dict[int, list[int]] = {}
-        for k, (parent, _) in enumerate(tree):
-            of.setdefault(parent, []).append(k)
-        kids.append(of)
-    weight: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(xs: list[int], ys: list[int]) -> tuple[int, list[tuple[int, int]]]:
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs):
-            for j, y in enumerate(ys):
-                here = weight[x, y][0] if (x, y) in weight else 0
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + here)
-        i, j, pairs = len(xs), len(ys), []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((xs[i], ys[j]))
-        return best[len(xs)][len(ys)], pairs
-
-    depth = []
-    for tree in (a, b):
-        d: list[int] = []
-        for parent, _ in tree:
-            d.append(0 if parent < 0 else d[parent] + 1)
-        depth.append(d)
-    levels: dict[int, tuple[list[int], list[int]]] = {}
-    for side, d in enumerate(depth):
-        for k, x in enumerate(d):
-            levels.setdefault(x, ([], []))[side].append(k)
-    for level in sorted(levels, reverse=True):  # children before their parents, so no recursion
-        for x in levels[level][0]:
-            for y in levels[level][1]:
-                if a[x][1] == b[y][1]:
-                    n, pairs = match(kids[0].get(x, []), kids[1].get(y, []))
-                    weight[x, y] = (n + 1, pairs)
-    out: dict[int, int] = {}
-    todo = match(kids[0].get(-1, []), kids[1].get(-1, []))[1]
+def _by_label(nodes: list[int], tree: list[tuple]) -> dict[str, list[int]]:
+    """Turns of some siblings by their labels."""
+    out: dict[str, list[int]] = {}
+    for turn, k in enumerate(nodes):
+        out.setdefault(tree[k][1], []).append(turn)
+    return out
+
+
+def _heaviest(xs: list[int], ys: list[int], a: list[tuple], b: list[tuple], weight: Callable[[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest set of pairs of equal label of two lists of siblings that crosses nothing, by a tree of prefix maxima."""
+    best: list[tuple[int, int]] = [(0, -1)] * (len(ys) + 1)
+    chain: list[tuple[int, int, int]] = []  # (x, y, the pair before it)
+    label = _by_label(ys, b)
+
+    def most(at: int) -> tuple[int, int]:
+        top = (0, -1)
+        while at:
+            if best[at][0] > top[0]:
+                top = best[at]
+            at &= at - 1
+        return top
+
+    for x in xs:
+        found = []
+        for j in label.get(a[x][1], ()):
+            total, before = most(j)
+            chain.append((x, ys[j], before))
+            found.append((j + 1, (total + weight(x, ys[j]), len(chain) - 1)))
+        for at, value in found:
+            while at <= len(ys):
+                if value[0] > best[at][0]:
+                    best[at] = value
+                at += at & -at
+    total, k = most(len(ys))
+    pairs = []
+    while k >= 0:
+        x, y, k = chain[k]
+        pairs.append((x, y))
+    return total, pairs[::-1]
+
+
+def simple_tree_matching(a: list[tuple], b: list[tuple]) -> dict[int, int]:
+    """The largest matching of two trees that keeps labels, parents and sibling order: nodes of a to nodes of b.
+
+    Only nodes of equal label below a compared pair are compared, without recursion; equal subtrees match as they are.
+    """
+    kids, shape = ([], []), ([], [])
+    names: dict[tuple, int] = {}
+    sizes: list[int] = []
+    for side, tree in enumerate((a, b)):
+        below: list[list[int]] = [[] for _ in tree]
+        kids[side].extend(below)
+        for k, node in enumerate(tree):
+            if node[0] >= 0:
+                below[node[0]].append(k)
+        shape[side].extend([0] * len(tree))
+        for k in range(len(tree) - 1, -1, -1):  # children stand behind their parents
+            key = (tree[k][1], *(shape[side][c] for c in below[k]))
+            if key not in names:
+                names[key] = len(sizes)
+                sizes.append(1 + sum(sizes[shape[side][c]] for c in below[k]))
+            shape[side][k] = names[key]
+    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def weight(x: int, y: int) -> int:
+        return sizes[shape[0][x]] if shape[0][x] == shape[1][y] else done[x, y][0]
+
+    def open_pairs(xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        label = _by_label(ys, b)
+        return [(x, ys[j]) for x in xs for j in label.get(a[x][1], ()) if shape[0][x] != shape[1][ys[j]] and (x, ys[j]) not in done]
+
+    tops = [[k for k, node in enumerate(t) if node[0] < 0] for t in (a, b)]
+    todo = [(p, False) for p in open_pairs(*tops)]
     while todo:
-        x, y = todo.pop()
+        (x, y), ready = todo.pop()
+        if (x, y) in done:
+            continue
+        if ready:
+            n, pairs = _heaviest(kids[0][x], kids[1][y], a, b, weight)
+            done[x, y] = (n + 1, pairs)
+        else:
+            todo.append(((x, y), True))
+            todo += [(p, False) for p in open_pairs(kids[0][x], kids[1][y])]
+    out: dict[int, int] = {}
+    left = _heaviest(*tops, a, b, weight)[1]
+    while left:
+        x, y = left.pop()
         out[x] = y
-        todo += weight[x, y][1]
+        left += zip(kids[0][x], kids[1][y], strict=True) if shape[0][x] == shape[1][y] else done[x, y][1]
+    return out
+
+
+def _name(*of: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def places(a: list[tuple], b: list[tuple]) -> list[int]:
+    """The place of each node of a: that of its counterpart in b, else one of its own label and turn below its parent's place, which further layouts may share."""
+    pairs = {k: k for k in range(len(a))} if a == b else simple_tree_matching(a, b)
+    out: list[int] = []
+    turns: dict[tuple[int, str], int] = {}
+    for k, (parent, label, _) in enumerate(a):
+        above = out[parent] if parent >= 0 else 0
+        if k in pairs:
+            out.append(_name("reference", pairs[k]))
+        else:
+            turns[above, label] = turn = turns.get((above, label), 0) + 1
+            out.append(_name(above, label, turn))
+    return out
+
+
+DEEP = 64  # levels of containers of which one may be the main region
+
+
+def containers(a: list[tuple], place: list[int]) -> list[list[int]]:
+    """The places of the containers that hold each node, outermost first, none of them within a main region that is marked."""
+    out: list[list[int]] = []
+    ends: list[bool] = []
+    for k, (parent, label, main) in enumerate(a):
+        above, ended = (out[parent], ends[parent]) if parent >= 0 else ([], False)
+        more = not ended and re.split(r"\W", label, maxsplit=1)[0] not in FLOW and len(above) < DEEP
+        out.append([*above, place[k]] if more else above)
+        ends.append(ended or bool(main))
     return out
 
 
 # ------------------------------------------------------------------ tasks
-def _host(url: str | None) -> str:
+def host(url: str | None) -> str:
     m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-_PARSED = "page_id long, url string, host string, tree string, marked boolean, blocks array<struct<node:int,text:string,words:int,linked:int>>"
-_BLOCK_TYPE = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("linked", pa.int32())]))
+_FIELDS = ("node", "text", "words", "linked", "mark")
+_PARSED = "page_id long, url string, host string, tree string, marked boolean, blocks array<struct<node:int,text:string,words:int,linked:int,mark:int>>"
+_BLOCK_TYPE = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("words", pa.int32()), ("linked", pa.int32()), ("mark", pa.int32())]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,72 +363,95 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offsets, 8 << 20):
             batch = whole.slice(i, j - i)
             pages = [Page(h or "") for h in batch.column(2).to_pylist()]
-            hosts = pa.array([_host(u) for u in batch.column(1).to_pylist()], pa.string())
+            hosts = pa.array([host(u) for u in batch.column(1).to_pylist()], pa.string())
             trees = pa.array([json.dumps(p.nodes, separators=(",", ":")) for p in pages], pa.string())
-            blocks = pa.array([[dict(zip(("node", "text", "words", "linked"), b, strict=True)) for b in p.blocks] for p in pages], _BLOCK_TYPE)
+            blocks = pa.array([[dict(zip(_FIELDS, b, strict=True)) for b in p.blocks] for p in pages], _BLOCK_TYPE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hosts, trees, pa.array([p.marked for p in pages], pa.bool_()), blocks], names=["page_id", "url", "host", "tree", "marked", "blocks"])
 
 
-def _places(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[str]:
-    """The place of each node of a: its counterpart in b, else its label below its parent's place, which further layouts may share."""
-    pairs = {k: k for k in range(len(a))} if a == b else simple_tree_matching(a, b)
-    out: list[str] = []
-    for k, (parent, label) in enumerate(a):
-        above = out[parent] if parent >= 0 else ""
-        out.append(str(pairs[k]) if k in pairs else "+" + hashlib.blake2b(f"{above}/{label}".encode(), digest_size=12).hexdigest())
-    return out
+_ALIGNED = "layout long, to long, node int, place long, above array<long>, title boolean"
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for layout, to, tree, reference in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a, b = ([tuple(x) for x in json.loads(t)] for t in (tree, reference))
-            places = _places(a, b)
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([pa.array([layout] * n, pa.int64()), pa.array([to] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(places, pa.string())], names=["layout", "to", "node", "place"])
+            place = places(a, b)
+            n = len(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([layout] * n, pa.int64()), pa.array([to] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(place, pa.int64()), pa.array(containers(a, place), pa.list_(pa.int64())), pa.array([re.match(r"h1\b", x[1]) is not None for x in a], pa.bool_())],
+                names=["layout", "to", "node", "place", "above", "title"],
+            )
 
 
-MIN_PAGES = 3  # different pages of a host that must agree on a node's text before it is template
-LINKED = 0.5  # share of words in links above which a slot outside an article is a menu
+MIN_PAGES = 3  # different pages of a host that make a wrapper, and that must have a text before it is template
+CONSTANT = 0.8  # share of the pages with a slot that have a text there which is template
+LINKED = 0.5  # share of words in links above which a slot is a menu
+REGION = 0.8  # share of a host's content that its main region holds
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page.
+    """(page_id, url, text, n_chars, by) of every page; ``by`` tells what found the text, the host's wrapper or the page's marks.
 
     White space in a block is one space; blocks are joined by one space. Null and empty html have empty
-    text. Pages without a host in their url make one group. Repeated pages get equal results and don't
-    make each other's text template: that takes three different texts. An empty table gives no rows.
-    Html is read once and never shuffled; hosts are summed up node by node, so a host that holds most
-    pages costs no more than others. Layouts, not pages, are aligned.
+    text; texts of any length are read whole. Pages without a host in their url make one group. Repeated pages get equal results and don't
+    make each other's text template: that takes three different texts. An empty table gives no rows; columns
+    of the input but the three named are not read. Html is read once and never shuffled; hosts are summed up
+    slot by slot, so a host that holds most pages costs no more than others. Layouts, not pages, are aligned.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = settle(rows.mapInArrow(lean(_parse), _PARSED), "pages").withColumn("layout", F.xxhash64("tree"))
     one = F.count(F.lit(1))
+    by_marks = lambda b: (b["mark"] == MAIN) | ((b["mark"] == PLAIN) & ~F.col("marked"))
+    shown = F.xxhash64(F.transform(F.filter("blocks", by_marks), lambda b: b["text"])).alias("page")
     layouts = settle(parsed.groupBy("host", "layout", "tree").agg(one.alias("n"), F.count(F.when(F.size("blocks") > 0, 1)).alias("filled")), "layouts", few=True)
-    reference = layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference")).withColumn("to", F.xxhash64("reference"))
-    of = layouts.join(reference, "host")
-    aligned = of.select("layout", "to", "tree", "reference").distinct().mapInArrow(lean(_align), "layout long, to long, node int, place string")
-    # A page's text at a node is one string, whatever the number of its blocks there.
-    of_node = parsed.where("size(blocks) > 0").select("host", "layout", F.xxhash64("blocks.text").alias("page"), "blocks", F.explode(F.array_distinct("blocks.node")).alias("node"))
-    mine = F.filter("blocks", lambda b: b["node"] == F.col("node"))
-    value = of_node.select("host", "layout", "node", F.xxhash64(F.transform(mine, lambda b: b["text"])).alias("text"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["words"]).alias("words"), F.aggregate(mine, F.lit(0).cast("long"), lambda s, b: s + b["linked"]).alias("linked"))
-    sums = value.groupBy("host", "layout", "node").agg(F.min("text").alias("low"), F.max("text").alias("high"), one.alias("rows"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    article = F.col("tree").rlike(r'"(?:article|main)[."]').alias("article")
-    slots = settle(sums.join(of.select("host", "layout", "to", article), ["host", "layout"]).join(aligned, ["layout", "to", "node"]), "slots", few=True)
-    over = slots.groupBy("host", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
-    menu = F.col("linked") > LINKED * F.col("words")
-    # Pages that differ in less text than a node holds are near copies, and the node may be what they are about.
-    differ = over.where((F.col("low") != F.col("high")) & ~menu).groupBy("host").agg(F.sum("words").alias("differ"))
-    over = over.join(layouts.groupBy("host").agg(F.sum("filled").alias("filled")), "host").join(differ, "host", "left").fillna(0, ["differ"])
-    template = (F.col("low") == F.col("high")) & (F.col("words") * F.col("filled") <= F.col("differ") * F.col("rows"))
-    over = over.select("host", "place", template.alias("template"), menu.alias("menu")).where("template OR menu")
-    likely = settle(slots.select("host", "layout", "node", "place", "article").join(over, ["host", "place"]).where("template OR NOT article"), "likely", few=True)
-    # Different pages are counted over all layouts of a place, and only where that decides.
-    seen = of_node.select("host", "layout", "node", "page").join(likely.select("host", "layout", "node", "place"), ["host", "layout", "node"])
-    enough = seen.select("host", "place", "page").distinct().groupBy("host", "place").agg(one.alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    wrapper = likely.join(enough, ["host", "place"], "left_semi")
-    wrapper = settle(wrapper.groupBy("host", "layout").agg(F.collect_set("node").alias("dropped")), "wrappers", few=True)
+    different = parsed.where("size(blocks) > 0").select("host", shown).distinct().groupBy("host").agg(one.alias("different")).where(F.col("different") >= MIN_PAGES)
+    hosts = settle(different.join(layouts.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"), F.sum("filled").alias("filled")), "host"), "hosts", few=True)
+    of = layouts.join(hosts, "host").select("host", "layout", F.xxhash64("reference").alias("to"), "tree", "reference")
+    aligned = settle(of.select("layout", "to", "tree", "reference").distinct().mapInArrow(lean(_align), _ALIGNED), "aligned", few=True)
+    of = of.select("host", "layout", "to")
+
+    # A page's texts slot by slot: each once, and the first of a slot leads it.
+    first = lambda b, k: (F.array_position(F.col("blocks.node"), b["node"]) == k + 1).cast("int")
+    each = F.transform("blocks", lambda b, k: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("text"), b["words"].alias("words"), b["linked"].alias("linked"), b["mark"].alias("mark"), first(b, k).alias("leads")))
+    items = parsed.where("size(blocks) > 0").join(hosts.select("host"), "host", "left_semi").select("host", "layout", shown, F.explode(each).alias("b")).select("host", "layout", "page", "b.*")
+    sums = (F.sum("leads").alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.sum(F.when(F.col("mark") == ASIDE, F.col("words")).otherwise(0)).alias("aside"))
+    slots = settle(items.groupBy("host", "layout", "node").agg(*sums).join(of, ["host", "layout"]).join(aligned, ["layout", "to", "node"]), "slots", few=True)
+    menu, aside = F.col("linked") > LINKED * F.col("words"), F.col("aside") > 0.5 * F.col("words")
+    over = slots.groupBy("host", "place").agg(*(F.sum(k).alias(k) for k in ("pages", "words", "linked", "aside")), F.first("above").alias("above")).withColumns({"menu": menu, "aside": aside})
+
+    # Texts that nearly all pages have in a slot; different pages are counted only where that decides.
+    placed = items.join(slots.select("host", "layout", "node", "place"), ["host", "layout", "node"])
+    once = placed.select("host", "place", "text", "words", "page").groupBy("host", "place", "text").agg(one.alias("rows"), F.max("words").alias("length")).where(F.col("rows") >= MIN_PAGES)
+    often = settle(once.join(over.select("host", "place", "pages"), ["host", "place"]).where(F.col("rows") >= CONSTANT * F.col("pages")).drop("pages"), "often", few=True)
+    seen = placed.join(often.select("host", "place", "text"), ["host", "place", "text"], "left_semi").select("host", "place", "text", "page").distinct()
+    fixed = settle(often.join(seen.groupBy("host", "place", "text").agg(one.alias("seen")).where(F.col("seen") >= MIN_PAGES), ["host", "place", "text"], "left_semi"), "fixed", few=True)
+
+    # The main region: among the containers of what varies and is neither a menu nor marked as something else.
+    still = fixed.groupBy("host", "place").agg(F.sum(F.col("rows") * F.col("length")).alias("still"))
+    volume = over.where("NOT menu AND NOT aside").join(still, ["host", "place"], "left").select("host", "above", F.coalesce("still", F.lit(0)).alias("still"), (F.col("words") - F.coalesce("still", F.lit(0))).alias("varies"))
+    total = volume.groupBy("host").agg(F.sum("varies").alias("all"), F.sum("still").alias("same"))
+    within = volume.select("host", "varies", "still", F.posexplode("above").alias("depth", "region")).groupBy("host", "region", "depth").agg(F.sum("varies").alias("varies"), F.sum("still").alias("still"))
+    decisive = within.join(total, "host").where((F.col("same") <= F.col("all")) & (F.col("varies") >= REGION * F.col("all")) & (F.col("varies") > 0))
+    region = decisive.groupBy("host").agg(F.max(F.struct("depth", "region"))["region"].alias("region"))
+    verdict = settle(hosts.select("host", "filled").join(total, "host", "left").join(region, "host", "left"), "verdicts", few=True)
+
+    # What each layout's nodes are: in the region or a title beside it, menus, and their constant texts.
+    told = slots.select("host", "layout", "node", "place", "above", "title").join(over.select("host", "place", "menu"), ["host", "place"]).join(verdict, "host")
+    told = told.join(still.select("host", "place", F.lit(True).alias("holds")), ["host", "place"], "left")
+    inside = F.coalesce(F.array_contains("above", F.col("region")), F.lit(False))
+    nodes = told.groupBy("host", "layout").agg(F.collect_set(F.when(inside, F.col("node"))).alias("inside"), F.collect_set(F.when(F.col("title") & F.col("holds").isNull(), F.col("node"))).alias("titles"), F.collect_set(F.when(F.col("menu"), F.col("node"))).alias("menus"))
+    small = (F.col("region").isNotNull()) | (F.col("length") * F.col("filled") <= F.col("all"))
+    texts_ = fixed.join(verdict, "host").where(small).select("host", "place", "text").join(slots.select("host", "layout", "node", "place"), ["host", "place"])
+    wrapper = nodes.join(texts_.groupBy("host", "layout").agg(F.collect_set(F.struct("node", "text")).alias("fixed")), ["host", "layout"], "left")
+    wrapper = settle(wrapper.withColumn("fixed", F.coalesce("fixed", F.array().cast("array<struct<node:int,text:bigint>>"))), "wrappers", few=True)
     full = parsed.join(wrapper, ["host", "layout"], "left")
-    left = F.when(F.col("dropped").isNull() | F.col("marked"), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["node"])))
+
+    known = F.col("inside").isNotNull()
+    template = lambda b: (b["mark"] != MAIN) & (F.array_contains("menus", b["node"]) | F.array_contains("fixed", F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("text"))))
+    in_region = lambda b: (b["mark"] != ASIDE) & (F.array_contains("inside", b["node"]) | ((b["mark"] == PLAIN) & F.array_contains("titles", b["node"])))
+    decided = F.coalesce(F.size("inside") > 0, F.lit(False))
+    left = F.when(decided, F.filter("blocks", lambda b: in_region(b) & ~template(b))).when(known, F.filter("blocks", lambda b: by_marks(b) & ~template(b))).otherwise(F.filter("blocks", by_marks))
     text = F.coalesce(F.array_join(F.transform(left, lambda b: b["text"]), " "), F.lit(""))
-    return full.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = full.select("page_id", "url", text.alias("text"), F.when(decided, F.lit("wrapper")).otherwise(F.lit("marks")).alias("by"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "by")
