@@ -45,13 +45,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame, label: str, few: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``few``: rows are small against what they are made from, so they go into a sixteenth as many files.
+    The table is deleted when the driver ends, or by ``forget``. ``few``: rows are small against what they
+    are made from; AQE then puts them into as many files as their size asks for.
     """
     spark = df.sparkSession
-    df = df.repartition(max(1, partitions(spark) // 16)) if few else df
+    df = df.hint("rebalance") if few else df
     where = new_folder(spark, label)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    _file_system(spark, where).deleteOnExit(_path(spark, where))
+    back = spark.read.schema(df.schema).parquet(where)
+    back.settled_in = where
+    return back
+
+
+def _path(spark: SparkSession, where: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(where)
+
+
+def _file_system(spark: SparkSession, where: str):
+    return _path(spark, where).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    _file_system(df.sparkSession, df.settled_in).delete(_path(df.sparkSession, df.settled_in), True)
 
 
 def open_fs(uri: str):
