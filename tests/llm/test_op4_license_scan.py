@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from pipewright.llm import license_scan
 from pipewright.llm.license_rules import NOTICES, ROOTS, RULES
@@ -82,3 +86,23 @@ def test_long_notices_have_their_labels(spark):
     rows = list(notices.items()) + [("bsd-3-clause", "Neither the names of Acme nor the names of its contributors may be used to endorse or promote products")]
     got = license_scan.scan_licenses(table(spark, rows, "label string, text string")).collect()
     assert [r.label for r in got if r.label not in r.labels.split(",")] == []
+
+
+def test_many_detections_in_a_text(spark):
+    """Thousands of notices in a text take time in proportion, and rules inside others go as they do one by one."""
+    rng = random.Random(2)
+    notices = ["mit license", "licensed under the apache license version 2 0", "gnu general public license version 2 or later", "all rights reserved", "cc by sa 4 0", "spdx license identifier gpl 3 0 only", "mozilla public license 2 0"]
+    texts = [" and ".join(rng.choice(notices) + rng.choice(["", " x", ", "]) for _ in range(n)) for n in (1, 2, 3, 63, 64, 65, 130, 700)]
+    rows = list(enumerate(texts))
+    for r in license_scan.scan_licenses(table(spark, rows, "doc_id long, text string")).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(texts[r.doc_id])
+    long = [(0, " and ".join(f"{rng.choice(notices)} {k}" for k in range(8000)))]
+    began = time.perf_counter()
+    [r] = license_scan.scan_licenses(table(spark, long, "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 20 and r.n_base > 1000 and "mit" in r.labels.split(",")
+
+
+def test_starts_of_many_places(spark):
+    numbers = [[], [3], list(range(64)), list(range(65)), [5] * 500]
+    got = table(spark, [(x,) for x in numbers], "x array<int>").select("x", license_scan._running(F.col("x")).alias("sums")).collect()
+    assert all(r.sums == [sum(r.x[:k]) for k in range(len(r.x))] for r in got)
