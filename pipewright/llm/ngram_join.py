@@ -19,8 +19,9 @@ draw anew.
 Documents that share a key for which at least one asks are candidates. Within a key each is linked to
 the key's first document, its center; a document is first checked against the center it shares most keys
 with. The components that this gives gather the documents of their centers' keys, and those of them that
-are not connected yet are checked against all of their group in blocks, by products of incidence
-matrices. A crowd, many documents of one task's lot that share a key, is tied to a center of its own
+are not connected yet are checked against their group, by products of incidence matrices. In a large group
+a shingle that only one component holds can't be common to documents of two; what of such shingles two
+documents have together must fit into H, and only documents of which that can be true meet, in blocks. A crowd, many documents of one task's lot that share a key, is tied to a center of its own
 there, and only that goes on with the key; so where all lots' rows of the key meet, the crowd's center is
 named with the key's, and the crowd's documents join the group of the key's center too. That is enough
 for components: a pair that is never compared is already connected.
@@ -30,10 +31,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, lower_ascii, mix, partitions, settle, slices, texts, word_hashes, words
@@ -43,7 +45,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5  # words of a shingle; similarity 4/5
 DELETIONS_UP_TO = 256  # bands of sets up to this size have one-deletion neighbourhoods
 DRAWS_UP_TO, DRAWS = 40, 4  # bands of sets up to this size are partitioned so many times
 KEYS_AT_ONCE = 300_000
-MEET = 1000  # documents of a block, about
+MEET = 400  # documents of a block, about
+SMALL = 200_000  # rows of a table that is broadcast
 CROWD = 64  # documents of one key in one task that are linked before the shuffle
 KEYS_PER_TASK = 3_000_000
 
@@ -413,6 +416,49 @@ def _component(nodes: DataFrame, known: DataFrame, column: str, name: str) -> Da
     return nodes.join(known.withColumnsRenamed({"node": column, "component": name}), column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _near(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of the groups of ``sizes``, which goes to all tasks if it is small, so that a large group isn't sent to one."""
+    own = sizes.select("of")
+    return rows.join(F.broadcast(own) if own.count() <= SMALL else own, "of")
+
+
+def _screened(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """(of, doc, c, light) of the documents of large groups that may have a partner there.
+
+    Two documents of different components differ in all shingles that only one component of the group holds.
+    With u such shingles of s, weight = 9 u - s (for 4/5): similar documents' weights add up to 0 at most.
+    So one with a weight above 0 (not light) meets light ones alone, and one whose weight exceeds what
+    the lightest takes off meets nothing.
+    """
+    whole = sets.select(F.col("doc_id").alias("doc"), "tokens")
+    tokens = group.select("of", "doc", "c").join(whole, "doc").select("of", "doc", "c", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("of", "token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("of", "token")
+    common = tokens.join(shared, ["of", "token"], "left_semi").groupBy("of", "doc").agg(F.count(F.lit(1)).alias("common"))
+    size = group.select("of", "doc", "c").join(whole.select("doc", F.size("tokens").alias("size")), "doc").join(common, ["of", "doc"], "left")
+    weight = (DENOMINATOR + NUMERATOR) * (F.col("size") - F.coalesce("common", F.lit(0))) - (DENOMINATOR - NUMERATOR) * F.col("size")
+    size = settle(size.select("of", "doc", "c", weight.alias("weight")), "weights", few=True)
+    least = size.groupBy("of").agg(F.min("weight").alias("least"))
+    return size.join(least, "of").where("weight + least <= 0").select("of", "doc", "c", (F.col("weight") <= 0).alias("light"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The blocks in which documents of large groups meet: light ones that ask with all, others that ask with light ones."""
+    asks = F.col("c") != F.col("of")
+    sizes = rows.groupBy("of").agg(*(F.ceil(F.count(F.when(c, 1)) / MEET).cast("int").alias(k) for k, c in (("la", asks & F.col("light")), ("ha", asks & ~F.col("light")), ("lh", F.col("light")), ("all", F.lit(True)))))
+    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "of").withColumn("spread", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("int"))
+
+    def part(which: Column, asking: bool, mine: str, others: str, first: int) -> DataFrame:
+        # One side's blocks are numbered by i, the other's by j; a row goes to all blocks of the other side. Negative i: the second grid.
+        own, every = F.col("spread") % F.col(mine), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        some = dealt.where(which & (F.col(others) > 0)).withColumns({"asks": F.lit(asking), "heard": F.lit(not asking), "own": own}).withColumn("other", every)
+        i, j = ("own", "other") if asking else ("other", "own")
+        turned = F.col(i) if not first else -1 - F.col(i)
+        return some.select(F.col("of").alias("meet"), turned.alias("i"), F.col(j).alias("j"), "of", "doc", "c", "asks", "heard")
+
+    parts = [part(asks & F.col("light"), True, "la", "all", 0), part(F.lit(True), False, "all", "la", 0), part(asks & ~F.col("light"), True, "ha", "lh", 1), part(F.col("light"), False, "lh", "ha", 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document.
 
@@ -457,16 +503,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     group = reached.select("of", F.col("a").alias("doc"), F.col("ca").alias("c"), "open").union(reached.select("of", F.col("b").alias("doc"), F.col("of").alias("c"), "open"))
     group = settle(group.groupBy("of", "doc", "c").agg(F.max("open").alias("open")), "groups", few=True)
     sizes = group.groupBy("of").agg(F.count(F.when(F.col("c") != F.col("of"), 1)).alias("outside"), F.count(F.lit(1)).alias("all"), F.max("open").alias("open"))
-    sizes = sizes.where("outside > 0 AND (open OR all > 2)")
-    sizes = sizes.select("of", F.ceil(F.col("outside") / MEET).cast("int").alias("is"), F.ceil(F.col("all") / MEET).cast("int").alias("js"))
-    few = (F.col("is") == 1) & (F.col("js") == 1)
-    sizes = sizes.withColumn("meet", F.when(few, F.pmod(F.xxhash64("of"), F.lit(16 * partitions(spark))) - (1 << 40)).otherwise(F.col("of")))
-    dealt = group.join(sizes, "of").withColumn("spread", F.pmod(F.xxhash64("doc"), F.lit(1 << 30)).cast("int"))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    small = dealt.where(few).withColumns({"asks": F.col("c") != F.col("of"), "heard": F.lit(True), "i": F.lit(0), "j": F.lit(0)})
-    ask = dealt.where(~few).where("c <> of").withColumns({"asks": F.lit(True), "heard": F.lit(False), "i": F.col("spread") % F.col("is"), "j": every("js")})
-    heard = dealt.where(~few).withColumns({"asks": F.lit(False), "heard": F.lit(True), "j": F.col("spread") % F.col("js"), "i": every("is")})
-    grid = small.unionByName(ask).unionByName(heard).select("meet", "i", "j", "of", "doc", "c", "asks", "heard").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    sizes = settle(sizes.where("outside > 0 AND (open OR all > 2)").withColumn("few", F.col("all") <= MEET).drop("open"), "sizes", few=True)
+    small, large = (_near(group, sizes.where(c)) for c in ("few", "NOT few"))
+    lots = 16 * partitions(spark)
+    grid = small.select(F.pmod(F.xxhash64("of"), F.lit(lots)).alias("meet"), F.lit(0).alias("i"), F.lit(0).alias("j"), "of", "doc", "c", (F.col("c") != F.col("of")).alias("asks"), F.lit(True).alias("heard"))
+    if not sizes.where("NOT few").isEmpty():
+        grid = grid.unionByName(_blocks(_screened(large, sets)))
+    grid = grid.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
     more = settle(grid.groupBy("meet", "i", "j").applyInArrow(_meet, "a long, b long"), "more", few=True)
     if not more.isEmpty():
         known = components(links.union(more))

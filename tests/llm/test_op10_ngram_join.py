@@ -135,3 +135,51 @@ def test_crowds_of_several_lots_meet(spark, monkeypatch):
     got = nj.similar_documents(docs).collect()
     assert len({r.component_id for r in got}) == 13
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def relatives(rng, n, size, edits, copies):
+    """Texts that share a base, each with edits of its own, so that they aren't similar; of some there are near copies."""
+    base = [rng.choice(WORDS) for _ in range(size)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for i in rng.sample(range(size), edits):
+            words[i] = f"{k}x{i}"
+        out.append(" ".join(words))
+        if rng.random() < copies:
+            words[rng.randrange(size)] = f"{k}y"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("edits", "copies", "left"), [(4, 0.2, 0), (3, 0.9, 0), (2, 0.3, 9), (1, 0.3, 0)])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, edits, copies, left):
+    """Groups far larger than a block: those that may be similar are checked, whatever block they are dealt to."""
+    monkeypatch.setattr(nj, "MEET", 8)
+    met = []
+    blocks = nj._blocks
+    monkeypatch.setattr(nj, "_blocks", lambda rows: met.append(rows.count()) or blocks(rows))
+    rng = random.Random(edits)
+    texts = [t for size in (100, 60) for t in relatives(rng, 60, size, edits, copies)]
+    rng.shuffle(texts)
+    rows = [(k * 7, t) for k, t in enumerate(texts)]
+    got = nj.similar_documents(table(spark, rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert edits == 1 or met and met[0] >= left
+
+
+def test_screening_loses_no_link(spark):
+    """Of documents of two components that are similar, both stay and one at least is light."""
+    rng = np.random.default_rng(4)
+    base, sets, pairs = rng.integers(1, 2**40, 60), [], []
+    for k in range(40):
+        own = np.unique(np.concatenate([base[rng.random(60) > 0.08], rng.integers(2**41, 2**42, rng.choice([0, 2, 6, 16]))]))
+        sets.append(own)
+    rows = [(k, k if k % 3 else k - k % 2) for k in range(40)]
+    for (a, ca), (b, cb) in ((x, y) for x in rows for y in rows if x < y):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if ca != cb and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+            pairs.append((a, b))
+    group = table(spark, [(0, d, c) for d, c in rows], "of long, doc long, c long")
+    light = {r.doc: r.light for r in nj._screened(group, table(spark, [(k, s.tolist()) for k, s in enumerate(sets)], "doc_id long, tokens array<long>")).collect()}
+    assert pairs and all(a in light and b in light and (light[a] or light[b]) for a, b in pairs)
