@@ -64,7 +64,22 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    """Run the command; whatever it meets becomes an exit code."""
+    try:
+        return _run(parser().parse_args(argv))
+    except TimeoutError as e:
+        return _say(f"out of time: {e}", TIMEOUT_ERROR)
+    except ConnectionError as e:
+        return _say(f"the connection failed: {e}", NETWORK_ERROR)
+    except (MemoryError, RecursionError) as e:
+        return _say(f"out of memory: {e}", SYSTEM_ERROR)
+    except KeyboardInterrupt:
+        return _say("stopped", GENERAL_ERROR)
+    except Exception as e:
+        return _say(f"internal error: {type(e).__name__}: {e}", INTERNAL_ERROR)
+
+
+def _run(args: argparse.Namespace) -> int:
     began = time.perf_counter()
     try:
         text = args.text if args.text is not None else open(args.input, encoding="utf-8").read() if args.input else sys.stdin.read(MOST_INPUT + 1)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .emit import spark_sql, to_sql
+from .emit import to_sql
 from .errors import ParseError, PipelineError, PlanError
 from .plans import ast as A
 from .plans.lexer import pipe_mode
 from .plans.parser import VERBS, parse
 from .plans.planner import plan
 from .sources import Catalog, scan
-from .sources.embedded import SYNTAX_FUNCTIONS, outside_quotes, tell_syntax
+from .sources.embedded import SYNTAX_FUNCTIONS, Segment, outside_quotes, tell_syntax, visible_ctes
 
 SETTING = "pipewright.pipeSyntax"
 _VERB = "|".join(sorted(VERBS))
@@ -84,12 +85,18 @@ class Engine:
         segments = scan(body)
         if not segments:
             return self.spark.sql(text)
-        out, at = [], 0
-        for s in segments:
-            out.append(body[at : s.start])
-            out.append("(" + self._subquery(s.text, s.mode, body) + ")")
-            at = s.end
-        return self.spark.sql("".join(out) + body[at:])
+        sql, at, views = "", 0, []
+        try:
+            for s in segments:
+                sql += body[at : s.start]
+                views.append(f"pipewright_{uuid.uuid4().hex}")
+                self._embedded(s, sql).createTempView(views[-1])
+                sql, at = f"{sql}(SELECT * FROM {views[-1]})", s.end
+            return self.spark.sql(sql + body[at:])
+        finally:
+            if not re.match(r"\s*create\b.*?\bview\b", body, re.IGNORECASE | re.DOTALL):  # which would look them up again
+                for view in views:
+                    self.spark.catalog.dropTempView(view)
 
     @staticmethod
     def _is_pipeline(body: str) -> bool:
@@ -97,13 +104,13 @@ class Engine:
         plain = outside_quotes(body)
         return bool(_HEAD.match(plain)) and ("%>%" in plain or "|>" in plain or bool(re.match(rf"(?:{_VERB})\s*\(", plain)))
 
-    def _subquery(self, text: str, mode: str | None, around: str) -> str:
-        """SQL of a pipeline inside a statement. Names that only the statement knows, as its CTEs, stay names."""
-        pipeline = self.parse(text, mode)
+    def _embedded(self, segment: Segment, before: str) -> DataFrame:
+        """The frame of a pipeline inside a statement. ``before`` is the statement up to it: its CTEs go before tables of their names."""
+        pipeline = self.parse(segment.text, segment.mode)
         if pipeline.target:
             raise PlanError("a pipeline inside SQL can't have a target")
-        ctes = {m.lower() for m in re.findall(r"(?:\bwith|,)\s*(?:recursive\s+)?(\w+)\s*(?:\([^)]*\)\s*)?as\s*\(", around, re.IGNORECASE)}
-        return spark_sql(pipeline, lambda name: None if name.lower() in ctes else self.catalog.columns(name))
+        ctes = visible_ctes(before)
+        return plan(pipeline, lambda name: self.spark.sql(ctes[name.lower()]) if name.lower() in ctes else self.catalog.table(name))
 
 
 __all__ = ["Engine", "PipelineError"]

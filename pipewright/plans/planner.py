@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
+from ..errors import PlanError
 from . import ast as A
 from .state import State
 
@@ -17,5 +19,8 @@ def plan(pipeline: A.Pipeline, table: Callable[[str], DataFrame]) -> DataFrame:
     df = table(pipeline.source or "data")
     state = State(df, tuple(df.columns), table=table)
     for verb in pipeline.verbs:
-        state = HANDLERS[type(verb)](state, verb)
+        try:
+            state = HANDLERS[type(verb)](state, verb)
+        except AnalysisException as e:  # a column that doesn't exist, a type that doesn't fit
+            raise PlanError(f"{type(verb).__name__.lower()}: {str(e).splitlines()[0]}") from e
     return state.result()

@@ -12,6 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 VIEWS = {
     "big_orders": "orders %>% filter(o_totalprice > 400000) %>% select(c_custkey = o_custkey, o_orderkey, o_totalprice)",
     "cust_nations": "customer %>% filter(c_acctbal > 5000) %>% select(k = c_nationkey)",
+    "rich_segments": "customer %>% filter(c_acctbal > 9000) %>% group_by(c_nationkey, c_mktsegment) %>% summarise(rich = n())",
     "supp_nations": "supplier %>% select(k = s_nationkey)",
     "with_nulls": "customer %>% select(c_custkey, c_name, c_acctbal) %>% left_join(big_orders, by = \"c_custkey\")",
 }
@@ -57,7 +58,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     ),
     "string_documents": ("documents %>% filter(str_detect(text, pattern = 'License')) %>% select(doc_id, n = nchar(text), head = substr(text, 1, 20))", "SELECT doc_id, length(text) AS n, substr(text, 1, 20) AS head FROM documents WHERE regexp_matches(text, 'License')"),
     "mutate_regex": ('pages %>% filter(str_detect(url, "^https://(www|m)[.]")) %>% select(page_id, url)', "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://(www|m)[.]')"),
-    "mutate_cast": ("orders %>% select(o_orderkey, i = as.integer(o_totalprice), d = as.numeric(o_custkey), d2 = as.double(o_orderkey), s = as.character(o_custkey), b = as.logical(o_custkey - o_custkey))", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INTEGER) AS i, CAST(o_custkey AS DOUBLE) AS d, CAST(o_orderkey AS DOUBLE) AS d2, CAST(o_custkey AS VARCHAR) AS s, CAST(o_custkey - o_custkey AS BOOLEAN) AS b FROM orders"),
+    "mutate_cast": ("orders %>% select(o_orderkey, i = as.integer(o_totalprice), d = as.numeric(o_custkey), d2 = as.double(o_orderkey), s = as.character(o_custkey), b = as.logical(mod(o_custkey, 2)))", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INTEGER) AS i, CAST(o_custkey AS DOUBLE) AS d, CAST(o_orderkey AS DOUBLE) AS d2, CAST(o_custkey AS VARCHAR) AS s, CAST(o_custkey % 2 AS BOOLEAN) AS b FROM orders"),
     "mutate_cond": ("customer %>% select(c_custkey, a = ifelse(c_acctbal > 0, 'in', 'out'), b = if_else(c_acctbal < 0, true = -1, false = 1), c = if_else(false = 0, condition = c_custkey > 100, true = 2))", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'in' ELSE 'out' END AS a, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END AS b, CASE WHEN c_custkey > 100 THEN 2 ELSE 0 END AS c FROM customer"),
     "mutate_null": ("with_nulls %>% select(c_custkey, o_orderkey, none = is.na(o_orderkey), v = coalesce(o_totalprice, c_acctbal), w = replace_na(o_totalprice, 0), w2 = na.replace(o_orderkey, 0), j = paste0(c_name, o_orderkey), eq = o_orderkey == NA)", f"SELECT c_custkey, o_orderkey, o_orderkey IS NULL AS none, coalesce(o_totalprice, c_acctbal) AS v, coalesce(o_totalprice, 0) AS w, coalesce(o_orderkey, 0) AS w2, concat(c_name, o_orderkey) AS j, CAST(NULL AS BOOLEAN) AS eq FROM ({_NULLS})"),
     "unary_ops": ("customer %>% filter(!(c_acctbal > 0)) %>% select(c_custkey, neg = -c_acctbal)", "SELECT c_custkey, -c_acctbal AS neg FROM customer WHERE NOT (c_acctbal > 0)"),
@@ -87,7 +88,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "join_anti": ("customer %>% anti_join(big_orders, by = 'c_custkey') %>% select(c_custkey)", f"SELECT c_custkey FROM customer ANTI JOIN ({_BIG}) USING (c_custkey)"),
     "join_theta": ("nation %>% select(n_name, n_nationkey) %>% inner_join(region, by = n_nationkey < r_regionkey)", "SELECT n_name, n_nationkey, r_regionkey, r_name FROM nation JOIN region ON n_nationkey < r_regionkey"),
     "join_names_differ": ("supplier %>% inner_join(nation, by = s_nationkey == n_nationkey) %>% select(s_suppkey, n_name)", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "join_multi": ("lineitem %>% select(l_orderkey, l_linenumber, l_quantity) %>% semi_join(lineitem, by = c('l_orderkey', 'l_linenumber')) %>% summarise(n = n())", "SELECT count(*) AS n FROM lineitem"),
+    "join_multi": ("customer %>% inner_join(rich_segments, by = c('c_nationkey', 'c_mktsegment')) %>% select(c_custkey, c_nationkey, c_mktsegment, rich)", 'SELECT c_custkey, c_nationkey, c_mktsegment, rich FROM customer JOIN (SELECT c_nationkey, c_mktsegment, count(*) AS rich FROM customer WHERE c_acctbal > 9000 GROUP BY 1, 2) USING (c_nationkey, c_mktsegment)'),
     "join_self": ("nation %>% inner_join(nation, by = 'n_regionkey') %>% filter(n_nationkey.x < n_nationkey.y) %>% select(n_regionkey, a = n_name.x, b = n_name.y)", "SELECT a.n_regionkey, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "join_chain": ("customer %>% inner_join(nation, by = c_nationkey == n_nationkey) %>% inner_join(region, by = n_regionkey == r_regionkey) %>% group_by(r_name) %>% summarise(n = n())", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "join_star_agg": (
@@ -102,18 +103,22 @@ PAIRS: dict[str, tuple[str, str]] = {
     "win_row_number": ("customer %>% group_by(c_nationkey) %>% mutate(r = row_number(c_custkey)) %>% select(c_custkey, r)", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer"),
     "win_rank": ("customer %>% group_by(c_nationkey) %>% mutate(r = rank(c_acctbal)) %>% select(c_custkey, r)", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer"),
     "win_dense_rank": ("part %>% group_by(p_brand) %>% mutate(r = dense_rank(p_size)) %>% select(p_partkey, r)", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"),
-    "win_rank_unordered": ("nation %>% group_by(n_regionkey) %>% mutate(r = rank(), d = dense_rank()) %>% select(n_name, r, d)", "SELECT n_name, rank() OVER (PARTITION BY n_regionkey) AS r, dense_rank() OVER (PARTITION BY n_regionkey) AS d FROM nation"),
+    "win_rank_unordered": ('nation %>% group_by(n_regionkey) %>% mutate(r = rank(), d = dense_rank(), o = rank(n_nationkey)) %>% filter(rank() == 1 & o > 2) %>% select(n_name, r, d, o)', 'SELECT * FROM (SELECT n_name, rank() OVER (PARTITION BY n_regionkey) AS r, dense_rank() OVER (PARTITION BY n_regionkey) AS d, rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS o FROM nation) WHERE o > 2'),
     "win_lead_lag": ("events %>% group_by(user_id) %>% mutate(p = lag(value, 1, 0, event_id), q = lead(value, 2, value, event_id)) %>% select(event_id, p, q)", "SELECT event_id, lag(value, 1, 0) OVER w AS p, lead(value, 2, value) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "win_lead_named": ("events %>% group_by(user_id) %>% mutate(p = lag(order_by = event_id, x = value), q = lead(value, order_by = event_id, n = 3)) %>% select(event_id, p, q)", "SELECT event_id, lag(value) OVER w AS p, lead(value, 3) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "win_first_last": ("events %>% group_by(event_type) %>% mutate(a = first(value, event_id), b = last(value, event_id), c = first_value(user_id, order_by = event_id), d = last_value(user_id, order_by = event_id)) %>% select(event_id, a, b, c, d)", "SELECT event_id, first_value(value) OVER w AS a, last_value(value) OVER f AS b, first_value(user_id) OVER w AS c, last_value(user_id) OVER f AS d FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id), f AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
     "win_ungrouped": ("nation %>% mutate(r = row_number(n_nationkey), p = lag(n_name, order_by = n_nationkey)) %>% select(n_name, r, p)", "SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r, lag(n_name) OVER (ORDER BY n_nationkey) AS p FROM nation"),
-    "win_ntile": ("customer %>% group_by(c_nationkey) %>% mutate(t = ntile(4)) %>% group_by(c_nationkey, t) %>% summarise(n = n())", "SELECT c_nationkey, t, count(*) AS n FROM (SELECT c_nationkey, ntile(4) OVER (PARTITION BY c_nationkey) AS t FROM customer) GROUP BY 1, 2"),
-    "win_nth": ("orders %>% group_by(o_orderstatus) %>% mutate(v = nth_value(o_orderstatus, 2)) %>% select(o_orderkey, v)", "SELECT o_orderkey, o_orderstatus AS v FROM orders"),
+    "win_ntile": ('customer %>% group_by(c_nationkey) %>% mutate(t = ntile(4, c_custkey)) %>% select(c_custkey, t)', 'SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS t FROM customer'),
+    "win_nth": ('customer %>% group_by(c_nationkey) %>% mutate(v = nth_value(c_acctbal, 3, c_custkey)) %>% select(c_custkey, v)', 'SELECT c_custkey, nth_value(c_acctbal, 3) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS v FROM customer'),
     "lambda_magrittr": ("nation %>% { . %>% filter(n_regionkey > 1) %>% select(n_name) } %>% arrange(n_name)", "SELECT n_name FROM nation WHERE n_regionkey > 1"),
     "dot_placeholder": ("nation %>% filter(., n_regionkey > 1) %>% { select(., n_name, n_nationkey) %>% filter(n_nationkey > 3) }", "SELECT n_name, n_nationkey FROM nation WHERE n_regionkey > 1 AND n_nationkey > 3"),
     "assign_target": ("few <- nation %>% filter(n_regionkey == 0)", "SELECT * FROM nation WHERE n_regionkey = 0"),
     "embed_sql": ("SELECT r_name, q.n FROM region JOIN (| nation %>% group_by(n_regionkey) %>% summarise(n = n()) %>% filter(n > 0) |) q ON q.n_regionkey = r_regionkey", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "embed_cte": ("WITH base AS (SELECT n_nationkey AS id, n_name FROM nation WHERE n_regionkey = 2) SELECT count(*) AS n FROM (| base %>% filter(id > 5) %>% select(id) |) AS x", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5"),
+    "embed_hidden": ("SELECT nm, b FROM (| customer %>% select(c_name) %>% mutate(b = round(c_acctbal * 2, 2)) %>% rename(nm = c_name) |) q WHERE b > 0", "SELECT c_name AS nm, round(c_acctbal * 2, 2) AS b FROM customer WHERE round(c_acctbal * 2, 2) > 0"),
+    "embed_hidden_group": ("SELECT * FROM (| customer %>% select(c_name) %>% group_by(c_nationkey) %>% summarise(n = n()) |) q WHERE n > 50", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 50"),
+    "embed_self_join": ("SELECT a, count(*) AS n FROM (| nation %>% inner_join(nation, by = 'n_regionkey') %>% select(n_regionkey, a = n_name.x, b = n_name.y) |) q WHERE a < b GROUP BY a", "SELECT a.n_name AS a, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name GROUP BY 1"),
+    "embed_nested_cte": ("WITH base AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation), few AS (SELECT * FROM (| base %>% filter(r < 3) |)) SELECT r, count(*) AS n FROM (WITH inner_ AS (SELECT * FROM few WHERE id > 2) SELECT * FROM (| inner_ %>% select(id) %>% mutate(r = r + 1) |)) GROUP BY r", "SELECT n_regionkey + 1 AS r, count(*) AS n FROM nation WHERE n_regionkey < 3 AND n_nationkey > 2 GROUP BY 1"),
     "table_fn": ("SELECT c_nationkey, n FROM dplyr('customer %>% group_by(c_nationkey) %>% summarise(n = n())') WHERE n > 50", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 50"),
     "table_fn_native": ("SELECT count(*) AS n FROM dplyr('customer |> filter(c_acctbal > 0) |> select(c_name)', 'native') AS t", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0"),
     "plain_sql": ("SELECT n_name FROM nation WHERE n_nationkey < 5", "SELECT n_name FROM nation WHERE n_nationkey < 5"),
