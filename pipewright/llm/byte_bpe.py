@@ -137,7 +137,8 @@ def load(path: str, pattern: str) -> ByteBPE:
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again.
 
-    Null and empty texts have no tokens. Repeated rows and null ids are kept as they are. One pass, no
+    Null and empty texts have no tokens. Repeated rows and null ids are kept as they are; an empty table
+    gives no rows; columns of the input but the two named are not read, whatever their names. One pass, no
     shuffle; what a task remembers is bounded, and a long run of letters or spaces takes time in
     proportion to its length.
     """

@@ -465,7 +465,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are runs of anything but ASCII white space, A-Z lower-cased; sets hold distinct five-word
     shingles, or the whole sequence of a shorter text. Links need 5 * common >= 4 * union. Null and empty
     texts have no shingles and stand alone. Repeated rows get equal results. A null id is returned with
-    its count and a null component, linked with nothing. An empty table gives no rows. Equal sets form
+    its count and a null component, linked with nothing. An empty table gives no rows; columns of the input
+    but the two named are not read; texts of any length are read whole. Equal sets form
     classes first, and only their smallest document is compared further.
     """
     spark = docs.sparkSession

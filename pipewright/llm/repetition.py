@@ -157,8 +157,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_covered: int = MA
     repeat_covered counts the words in maximal repeats of 16 words or more, longest_repeat has the words
     of the longest repeat of 8 or more (else 0). A text that passes the base rules is kept unless such
     repeats cover more than ``max_covered`` per cent of it or the longest has over ``max_longest`` words.
-    Null and empty texts have no words and fail the base rules. Repeated rows get equal results. All
-    columns of the input stay; one whose name a measure has is replaced.
+    Null and empty texts have no words and fail the base rules; texts of any length are measured whole, in
+    n log n steps. Repeated rows get equal results; an empty table gives no rows. All
+    columns of the input stay; one whose name a measure has is replaced. Words are told apart by 64-bit
+    hashes, lines and repeats by theirs.
     """
     names = [c.split()[0] for c in MEASURES.split(", ")]
     kept_columns = [c for c in docs.columns if c.lower() not in names]

@@ -288,7 +288,13 @@ def read_token_files(spark, manifest: list, folder: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int, **columns) -> DataFrame:
-    """Write the token files of all documents, then read every document back from them."""
+    """Write the token files of all documents, then read every document back from them.
+
+    (doc_id, start, n_tokens, ids_crc32) in ascending doc_id order, null ids first; repeated documents stand
+    as often as they do in the table. Null and empty texts have the end id alone; an empty table gives no
+    rows; columns beside id and text are not read. A chunk of text whose tokens a task remembers is known
+    by a 64-bit hash.
+    """
     folder = new_folder(docs.sparkSession, "tokens")
     manifest = write_token_files(docs, tokenizer, end, folder, **columns).collect()
     return read_token_files(docs.sparkSession, manifest, folder)
