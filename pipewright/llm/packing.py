@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import lean, settle
 from .token_file import word_encoder
 
-RANK_GROUP = 50_000  # pieces of one length that a task ranks together
+RANK_GROUP = 1_000  # pieces of one length that a task ranks together
 
 
 # ------------------------------------------------------------------ the plan
@@ -119,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
 
     Null and empty texts are one piece, the end id. Repeated documents are packed as often as they stand
     there. A null id is kept as null. An empty table gives no rows. Columns beside id and text are not
-    read. No length class is ranked in one task: classes are dealt into groups of about 50,000 by a hash
+    read. No length class is ranked in one task: classes are dealt into groups of about 1,000 by a hash
     and the groups' first ranks come from their sizes.
     """
     spark = docs.sparkSession
