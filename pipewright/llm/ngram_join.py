@@ -45,7 +45,7 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5  # words of a shingle; similarity 4/5
 DELETIONS_UP_TO = 256  # bands of sets up to this size have one-deletion neighbourhoods
 DRAWS_UP_TO, DRAWS = 40, 4  # bands of sets up to this size are partitioned so many times
 KEYS_AT_ONCE = 300_000
-MEET = 400  # documents of a block, about
+MEET = 250  # documents of a block, about
 SMALL = 200_000  # rows of a table that is broadcast
 CROWD = 64  # documents of one key in one task that are linked before the shuffle
 KEYS_PER_TASK = 3_000_000
