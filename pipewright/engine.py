@@ -109,8 +109,27 @@ class Engine:
         pipeline = self.parse(segment.text, segment.mode)
         if pipeline.target:
             raise PlanError("a pipeline inside SQL can't have a target")
-        ctes = visible_ctes(before)
-        return plan(pipeline, lambda name: self.spark.sql(ctes[name.lower()]) if name.lower() in ctes else self.catalog.table(name))
+        ctes = self._ctes(before)
+        return plan(pipeline, lambda name: ctes[name.lower()] if name.lower() in ctes else self.catalog.table(name))
+
+    def _ctes(self, before: str) -> dict[str, DataFrame]:
+        """The frames of the CTEs that a pipeline behind ``before`` may name. While one is read, those before it stand as views."""
+        found: dict[str, DataFrame] = {}
+        hidden: list[tuple[str, DataFrame | None]] = []
+        try:
+            for cte in visible_ctes(before):
+                df = self.spark.sql(cte.sql)
+                found[cte.name] = df.toDF(*cte.columns) if cte.columns else df
+                there = any(t.isTemporary and t.name.lower() == cte.name for t in self.spark.catalog.listTables())
+                hidden.append((cte.name, self.spark.table(cte.name) if there else None))
+                found[cte.name].createOrReplaceTempView(cte.name)
+        finally:
+            for name, old in reversed(hidden):
+                if old is None:
+                    self.spark.catalog.dropTempView(name)
+                else:
+                    old.createOrReplaceTempView(name)
+        return found
 
 
 __all__ = ["Engine", "PipelineError"]

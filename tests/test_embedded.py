@@ -53,11 +53,16 @@ def test_ctes(engine):
     assert rows(engine.sql(f"{one} SELECT l.x FROM (| a %>% filter(x == 1) |) l JOIN (| a %>% semi_join(nation, by = x == n_nationkey) |) r ON l.x = r.x")) == ["Row(x=1)"]
 
 
-def test_visible_ctes():
-    assert visible_ctes("SELECT * FROM (") == {}
-    assert visible_ctes("WITH a AS (SELECT 1), b AS (SELECT 2) SELECT * FROM ") == {"a": "WITH a AS (SELECT 1) SELECT * FROM a", "b": "WITH a AS (SELECT 1), b AS (SELECT 2) SELECT * FROM b"}
-    assert set(visible_ctes("WITH a AS (SELECT 1), b AS (SELECT * FROM ")) == {"a"}
-    assert visible_ctes("SELECT * FROM (WITH a AS (SELECT 1) SELECT 1) x, ") == {}
+def test_visible_ctes(engine, spark):
+    assert visible_ctes("SELECT * FROM (") == []
+    assert visible_ctes("WITH a AS (SELECT 1), b(x) AS (SELECT 2) SELECT * FROM ") == [("a", None, "SELECT 1"), ("b", ["x"], "SELECT 2")]
+    assert [c.name for c in visible_ctes("WITH a AS (SELECT 1), b AS (SELECT * FROM ")] == ["a"]
+    assert visible_ctes("SELECT * FROM (WITH a AS (SELECT 1) SELECT 1) x, ") == []
+    assert [c.sql for c in visible_ctes("WITH RECURSIVE a AS (SELECT 1) SELECT * FROM ")] == ["WITH RECURSIVE a AS (SELECT 1) SELECT * FROM a"]
+    # The views that CTEs stood as are what they were, and a CTE can hold others.
+    assert engine.sql("SELECT count(*) AS n FROM nation").first().n == 25
+    assert not any(t.name in ("a", "b", "f") for t in spark.catalog.listTables())
+    assert rows(engine.sql("WITH a AS (WITH i AS (SELECT 3 AS x) SELECT x FROM i), b AS (SELECT * FROM (| a %>% mutate(y = x) |)) SELECT * FROM (WITH c AS (SELECT y FROM b) SELECT * FROM (| c %>% filter(y > 1) |))")) == ["Row(y=3)"]
 
 
 def test_what_does_not_exist(engine):
