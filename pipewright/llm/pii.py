@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt, log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,25 +255,41 @@ def _roles(name: str) -> list[tuple[str, str]]:
 
 
 def _word(word: str, role: str, key: bytes) -> str:
-    """The replacement of a word of a name in its role. Words of the lists map to such, others to others."""
+    """The replacement of a word of a name in its role. First names of the lists map to such, others to others."""
     if role == LISTED:
         names = sorted(NAMES[_GENDER[word.lower()]], key=lambda n: hashlib.blake2b(n.encode(), key=key, digest_size=16).digest())
         return names[([n.lower() for n in names].index(word.lower()) + 1) % len(names)]
     new = word
     while True:
         new = _form(new, key, role)
-        if new.lower() not in _GENDER:
+        if role == LAST or new.lower() not in _GENDER:
             return new
 
 
-def surrogate(kind: str, text: str, key: bytes, redrawn: dict[str, int] | None = None) -> str:
-    """The replacement of one entity, by the key, or by a later one where ``redrawn`` has it."""
+def _sort(secret: str) -> tuple[str, bool]:
+    """What a secret has in common with its surrogate: (its prefix, whether it is hexadecimal)."""
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", secret):
+        return "", True
+    return re.match(rf"(?:{KEY_PREFIXES})?", secret)[0], False
+
+
+def surrogate(kind: str, text: str, key: bytes, redrawn: Redrawn | None = None) -> str:
+    """The replacement of one entity, by the key, or by a later one where ``redrawn`` says so.
+
+    Under one key entities of a kind never share a surrogate: what tells their formats apart stays.
+    """
     if kind == "name":
         words = " ".join(surrogate(f"name, {role}", w, key, redrawn) for w, role in _roles(text))
         head = text.split(" ")[0]
         return f"{head} {words}" if head.rstrip(".") in TITLES else words
-    if redrawn:
-        key = next_key(key, redrawn.get(_digest(kind, text), 0))
+    if redrawn and _roomy(kind, text):
+        key = next_key(key, redrawn.turn(_digest(kind, text)))
+    return _drawn(kind, text, key)
+
+
+@lru_cache(maxsize=50_000)
+def _drawn(kind: str, text: str, key: bytes) -> str:
+    """The replacement of one entity, or of a word of a name, by this very key."""
     if kind.startswith("name, "):
         return _word(text, kind[6:], key)
     if kind == "ip":
@@ -288,10 +305,14 @@ def surrogate(kind: str, text: str, key: bytes, redrawn: dict[str, int] | None =
     if kind == "iban":
         return _iban(text, key)
     if kind == "secret":
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
+        prefix, hexed = own = _sort(text)
+        if hexed:
             return _form(text, key, "hex", _HEX)
-        prefix = re.match(rf"(?:{KEY_PREFIXES})?", text)[0]
-        return prefix + _form(text[len(prefix) :], key, f"secret{prefix}")
+        new = text
+        while True:  # to the next of its sort
+            new = prefix + _form(new[len(prefix) :], key, f"secret{prefix}")
+            if _sort(new) == own:
+                return new
     name, _, domain = text.rpartition("@")
     labels = domain.split(".")
     shown = name + "@" + ".".join(labels[:-1])
@@ -369,25 +390,19 @@ def _mentions(text: str | None) -> list[tuple[int, int, str, str, tuple[tuple[st
     return found
 
 
-@lru_cache(maxsize=50_000)
-def _cached(kind: str, text: str, key: bytes) -> str:
-    return surrogate(kind, text, key)
-
-
-def replace(text: str | None, key: bytes, redrawn: dict[str, int] | None = None) -> tuple[str | None, list[tuple[str, str, str]]]:
+def replace(text: str | None, key: bytes, redrawn: Redrawn | None = None) -> tuple[str | None, list[tuple[str, str, str]]]:
     """A text without its entities, and (kind, entity, surrogate) of each.
 
     The words of a name with a title or a known first name are replaced wherever they recur in the text,
     alone or together. A match without any letter or digit (a masked password) is no entity.
     """
-    drawn = (lambda kind, t: surrogate(kind, t, key, redrawn)) if redrawn else (lambda kind, t: _cached(kind, t, key))
     out, found, at = [], [], 0
     for start, end, kind, entity, words in _mentions(text):
         if words:
-            parts = [drawn(f"name, {role}", w) for w, role in words]
+            parts = [surrogate(f"name, {role}", w, key, redrawn) for w, role in words]
             new = " ".join(p if shown == w else p.upper() for p, (w, _), shown in zip(parts, words, entity.split(" "), strict=True))
         else:
-            new = drawn(kind, entity)
+            new = surrogate(kind, entity, key, redrawn)
         if new != entity:
             out += (text[at:start], new)
             found.append((kind, entity, new))
@@ -413,10 +428,58 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ROOMY = 6.0  # a format of more than 10 ** ROOMY strings has room for surrogates that are no entity
 
 
+@lru_cache(maxsize=50_000)
 def _roomy(kind: str, text: str) -> bool:
+    if kind == "secret" and _sort(text)[1]:
+        return len(text) * log10(len(_HEX)) > ROOMY
     return kind == "ip" or kind != f"name, {LISTED}" and sum(log10(len(a[0])) for a in map(_alphabet, text.lower()) if a) > ROOMY
 
 
+SPOT, MARK_BITS, SPARSE = 28, 28, 64  # bits of a spot; of the most marks of the first level; places for each mark
+
+
+class Redrawn:
+    """How many keys further surrogates are drawn: a level of marks for each key that is passed over.
+
+    An entity hashes to a place of each level, and is drawn by the key of the first level that has no mark
+    there. Few other entities share a marked place; those go on to the next key with it. So the levels say it
+    of any number of entities in 64 MB at most: 2 ** 28 places in the first level, half of the last in each
+    further one.
+    """
+
+    def __init__(self, levels: tuple[tuple[int, np.ndarray], ...] = ()):
+        self.levels = levels  # (bits of a place, marks as 64-bit words)
+
+    def __bool__(self) -> bool:
+        return bool(self.levels)
+
+    @staticmethod
+    def spot(digest: str, turn: int) -> int:
+        odd = 0x9E3779B97F4A7C15F39CC0605CEDC835 * (2 * turn + 1)
+        return int(digest, 16) * odd % (1 << 128) >> (128 - SPOT)
+
+    def turn(self, digest: str) -> int:
+        for turn, (bits, marks) in enumerate(self.levels):
+            place = self.spot(digest, turn) >> (SPOT - bits)
+            if not int(marks[place >> 6]) >> (place & 63) & 1:
+                return turn
+        return len(self.levels)
+
+    def marked(self, bad: DataFrame) -> Redrawn:
+        """With marks for the entities (turn, spot) of ``bad`` as well."""
+        counts = sorted(tuple(r) for r in bad.groupBy("turn").agg(F.count(F.lit(1))).collect())
+        levels = list(self.levels)
+        for turn, n in counts:
+            most = max(10, MARK_BITS - turn)
+            bits, marks = levels[turn] if turn < len(levels) else (min(most, max(10, (SPARSE * n - 1).bit_length())), None)
+            marks = np.zeros(1 << bits - 6, np.uint64) if marks is None else marks.copy()
+            place = F.shiftright("spot", SPOT - bits)
+            new = bad.where(F.col("turn") == turn).select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits")).toArrow()
+            marks[new.column("word").to_numpy()] |= new.column("bits").to_numpy().view(np.uint64)
+            levels[turn : turn + 1] = [(bits, marks)]
+        return Redrawn(tuple(levels)) if counts else self
+
+
 def _draw(key: bytes, redrawn):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,42 +487,45 @@ def _draw(key: bytes, redrawn):
             for kind, entity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = surrogate(kind, entity, key, redrawn.value)
                 if new != entity:
-                    rows.append((kind, _digest(kind, entity), _digest(kind, new), _roomy(kind, entity)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["kind", "of", "is", "roomy"])
+                    of, roomy = _digest(kind, entity), _roomy(kind, entity)
+                    turn = redrawn.value.turn(of) if roomy else 0
+                    rows.append((kind, of, _digest(kind, new), roomy, turn, Redrawn.spot(of, turn)))
+            types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "of", "is", "roomy", "turn", "spot"])
 
     return draw
 
 
 TURNS = 16
-MOST_REDRAWN = 200_000
 
 
-def redraw(docs: DataFrame, key: bytes, text_col: str = "text") -> dict[str, int]:
-    """By digest of the entity: how many keys further its surrogate is drawn.
+def redraw(docs: DataFrame, key: bytes, text_col: str = "text") -> Redrawn:
+    """How many keys further the corpus's surrogates are drawn, that they meet neither each other nor an entity.
 
-    A surrogate that another entity has too is drawn anew, and so is one that is itself another entity of
-    its kind in the corpus, where the format has more than a million strings (first names map onto their
-    list, and a corpus may hold all of a short format). The corpus's distinct entities are written to the
-    shared folder for this and deleted at the end; only digests that are drawn anew come to the driver, at
-    most 200,000 of the second sort: where more are, the others stay, still one surrogate for each entity.
+    Drawn anew is a surrogate that another entity has too, and one that is itself another entity of
+    its kind in the corpus; both where the format has more than a million strings (first names map onto their
+    list, and a corpus may hold all of a short format; by one key a format's surrogates never meet). The
+    corpus's distinct entities are written to the shared folder for this and deleted at the end. However many are drawn
+    anew, the driver and the tasks hold no more than the marks of ``Redrawn``. Should 16 keys not
+    be enough, the last state without two entities of one surrogate holds.
     """
     spark = docs.sparkSession
     entities = settle(docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(_entities), "kind string, entity string").distinct(), "entities", few=True)
-    redrawn: dict[str, int] = {}
-    sound: dict[str, int] | None = None
+    redrawn, sound = Redrawn(), None
     try:
         for _ in range(TURNS):
-            drawn = entities.mapInArrow(lean(_draw(key, spark.sparkContext.broadcast(dict(redrawn)))), "kind string, of string, is string, roomy boolean").distinct()
+            drawn = entities.mapInArrow(lean(_draw(key, spark.sparkContext.broadcast(redrawn))), "kind string, of string, is string, roomy boolean, turn int, spot int")
+            drawn = settle(drawn.distinct(), "drawn", few=True)
             shared = drawn.groupBy("kind", "is").agg(F.min("of").alias("first"), F.max("of").alias("last")).where("first <> last").select("kind", "is", "first")
-            met = {r[0] for r in drawn.join(shared, ["kind", "is"]).where("of <> first").select("of").distinct().collect()}
-            if not met:
-                sound = dict(redrawn)
-            taken = drawn.where("roomy").join(drawn.select("kind", F.col("of").alias("is")).distinct(), ["kind", "is"], "left_semi").select("of").distinct()
-            more = {r[0] for r in taken.orderBy("of").limit(max(0, MOST_REDRAWN - len(redrawn))).collect()}
-            if not met | more:
+            met = drawn.join(shared, ["kind", "is"]).where("of <> first").select("roomy", "turn", "spot", F.lit(True).alias("met"))
+            taken = drawn.where("roomy").join(drawn.select("kind", F.col("of").alias("is")).distinct(), ["kind", "is"], "left_semi").select("roomy", "turn", "spot", F.lit(False).alias("met"))
+            bad = settle(met.union(taken).groupBy("roomy", "turn", "spot").agg(F.max("met").alias("met")), "bad", few=True)
+            sound = redrawn if bad.where("met").isEmpty() else sound
+            redrawn, last = redrawn.marked(bad.where("roomy").select("turn", "spot")), redrawn
+            for table in (drawn, bad):
+                forget(table)
+            if redrawn is last:
                 break
-            for digest in met | more:
-                redrawn[digest] = redrawn.get(digest, 0) + 1
     finally:
         forget(entities)
     if sound is None:
@@ -482,7 +548,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", checke
     kept = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
     place = kept.index(text_col)
-    redrawn = docs.sparkSession.sparkContext.broadcast(redraw(docs, key, text_col) if checked else {})
+    redrawn = docs.sparkSession.sparkContext.broadcast(redraw(docs, key, text_col) if checked else Redrawn())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
