@@ -120,6 +120,7 @@ def test_by_one_key_surrogates_never_meet():
     names = ["Paul", "Mark", "Jean"] + [a + b + c for a, b, c in itertools.product("BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz")]
     assert len({pii.surrogate("name, last", n, KEY) for n in names}) == len(names)
     secrets = ["".join(x) for x in itertools.product("ab", "bx", "e", "cz", "d", "f")] + ["sk-" + "".join(x) for x in itertools.product("abc", "xyz", "123")] + ["".join(x) + "-" + y for x in itertools.product("rst", "jkl") for y in ("ax1", "cz3")]
+    secrets = sorted(set(secrets))
     assert all(pii._sort(s) == pii._sort(pii.surrogate("secret", s, KEY)) for s in secrets)
     assert len({pii.surrogate("secret", s, KEY) for s in secrets}) == len(secrets)
 
