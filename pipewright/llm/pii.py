@@ -52,9 +52,9 @@ WORD = rf"[{_UPPER}][{_LOWER}]+"
 KEY_PREFIXES = r"AKIA|ASIA|gh[pousr]_|glpat-|sk-|xox[abprs]-|AIza|eyJ"
 SECRET_WORDS = r"token|secret|passwd|password|pwd|passphrase|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 _ASSIGNED = rf"(?ai:(?:{SECRET_WORDS})[A-Za-z0-9_-]{{0,24}}[\"']?[ \t]{{0,4}}(?::=|=>|[=:])[ \t]{{0,4}})(?:[\"'](?P<quoted>[^\s\"']{{6,}})(?=[\"'])|(?P<bare>(?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[A-Za-z0-9_+/=.~-]{{7,}}[A-Za-z0-9_+/=~-]))"
-#: What is looked for, the first that matches at a place.
+#: What is looked for, the first that matches at a place. The part of an address before its @ has 64 characters at most.
 PATTERNS = (
-    ("email", r"[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+"),
+    ("email", r"[^\W_][\w.+-]{0,63}@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+"),
     ("secret", rf"{_ASSIGNED}|(?<![0-9A-Za-z])(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})(?![0-9A-Za-z])|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36}}\b|\bglpat-[\w-]{{20}}|\bsk-[A-Za-z0-9_-]{{20,}}|\bxox[abprs]-[A-Za-z0-9-]{{10,}}|\bAIza[\w-]{{35}}|\beyJ[\w-]{{8,}}\.[\w-]{{8,}}\.[\w-]{{4,}}"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -65,6 +65,7 @@ PATTERNS = (
 #: A word that a capitalised one follows: a title or a first name, perhaps; and the words behind it.
 _BEFORE_NAME = re.compile(rf"(?<!\w)([^\W\d_]+(?:-[^\W\d_]+)?)(\.?)(?= [{_UPPER}][{_LOWER}])")
 _NAME = re.compile(rf" ({WORD})(?: ({WORD}))?")
+_ALONE = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 
 _KINDS = {k: 1 << i for i, (k, _) in enumerate(PATTERNS)}
@@ -118,7 +119,10 @@ class Permutation:
 
     def _f(self, x: int, r: int, size: int) -> int:
         raw = x.to_bytes((x.bit_length() + 7) // 8 or 1, "little")
-        return int.from_bytes(hashlib.blake2b(bytes([r]) + raw, key=self.seed, digest_size=min(64, size.bit_length() // 8 + 9)).digest(), "little") % size
+        n = size.bit_length() // 8 + 9
+        if n > 64:
+            return int.from_bytes(hashlib.shake_256(self.seed + bytes([r]) + raw).digest(n), "little") % size
+        return int.from_bytes(hashlib.blake2b(bytes([r]) + raw, key=self.seed, digest_size=n).digest(), "little") % size
 
     def _forth(self, x: int) -> int:
         a, b = self.a, self.b
@@ -147,18 +151,26 @@ class Permutation:
         return self._back((self._forth(x) + self.step) % self.n)
 
 
+WIDE = 512  # characters that are permuted together
+
+
 def _permuted(numbers: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
-    n, x = 1, 0
-    for i, s in zip(numbers, sizes, strict=True):
-        x, n = x * s + i, n * s
-    if n < 2:
-        return numbers
-    x = Permutation(n, key, f"{tweak}|{n}")(x)
-    out = []
-    for s in reversed(sizes):
-        x, i = divmod(x, s)
-        out.append(i)
-    return out[::-1]
+    """A permutation of numbers below ``sizes``; of a long row piece by piece, each by a permutation that the pieces before it choose."""
+    out, before = [], hashlib.blake2b(tweak.encode(), digest_size=16)
+    for k in range(0, len(numbers), WIDE):
+        piece, own = numbers[k : k + WIDE], sizes[k : k + WIDE]
+        n, x = 1, 0
+        for i, s in zip(piece, own, strict=True):
+            x, n = x * s + i, n * s
+        if n > 1:
+            x = Permutation(n, key, f"{tweak}|{n}|{before.hexdigest()}" if k else f"{tweak}|{n}")(x)
+        new = []
+        for s in reversed(own):
+            x, i = divmod(x, s)
+            new.append(i)
+        out += new[::-1]
+        before.update(repr(piece).encode())
+    return out
 
 
 @lru_cache(maxsize=10_000)
@@ -378,14 +390,20 @@ def _mentions(text: str | None) -> list[tuple[int, int, str, str, tuple[tuple[st
                     roles.setdefault(word, (word, role))
                     roles.setdefault(word.upper(), (word, role))
     if roles:
-        one = "|".join(sorted(map(re.escape, roles), key=len, reverse=True))
+        runs: list[list[int]] = []
+        for m in _ALONE.finditer(text):
+            if m[0] in roles:
+                if runs and m.start() == runs[-1][1] + 1 and text[runs[-1][1]] == " ":
+                    runs[-1][1] = m.end()
+                else:
+                    runs.append([m.start(), m.end()])
         taken = iter([*found, (len(text), len(text))])
         entity, more = next(taken), []
-        for m in re.finditer(rf"(?<!\w)(?:{one})(?: (?:{one}))*(?!\w)", text):
-            while entity[1] <= m.start() < len(text):
+        for start, end in runs:
+            while entity[1] <= start < len(text):
                 entity = next(taken)
-            if m.end() <= entity[0]:
-                more.append((m.start(), m.end(), "name", m[0], tuple(roles[w] for w in m[0].split(" "))))
+            if end <= entity[0]:
+                more.append((start, end, "name", text[start:end], tuple(roles[w] for w in text[start:end].split(" "))))
         found = sorted(found + more)
     return found
 

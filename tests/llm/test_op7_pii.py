@@ -2,6 +2,7 @@ import ipaddress
 import itertools
 import random
 import re
+import time
 
 from pipewright.llm import pii
 
@@ -116,6 +117,31 @@ def test_any_number_is_drawn_anew(spark, monkeypatch):
     assert len(new) == len(real) and new.isdisjoint(real)
 
 
+def test_long_entities_are_replaced_throughout():
+    for n in (100, 400, 600, 1500, 20_000):
+        one, other = "aB3x" * n, "aB3x" * (n - 1) + "aB4x"
+        got = [pii.replace(f'password = "{t}"', KEY)[1][0][2] for t in (one, other)]
+        assert len(set(got)) == 2 and all(len(g) == 4 * n for g in got)
+        for g in got:  # no stretch of it stays as it was
+            assert max(sum(g[k + j] == one[k + j] for j in range(40)) for k in range(0, 4 * n, 40)) < 32
+    small = {tuple(pii._permuted([a, b], [30, 30], KEY, "x")) for a in range(30) for b in range(30)}
+    assert len(small) == 900
+
+
+def test_pieces_of_long_rows_stay_apart(monkeypatch):
+    monkeypatch.setattr(pii, "WIDE", 2)
+    rows = list(itertools.product(range(3), repeat=5))
+    assert len({tuple(pii._permuted(list(r), [3] * 5, KEY, "x")) for r in rows}) == len(rows)
+
+
+def test_long_runs_take_linear_time():
+    n = 100_000
+    for text in ("aB3x" * (n // 4) + " me@mail.example.com", "1." * (n // 2) + " me@mail.example.com", "7" * n + " +49 30 123456", "Mr Bell " + "Anna Bell " * (n // 10), "token=" + "a" * n, "0a" * (n // 2)):
+        start = time.process_time()
+        pii.replace(text, KEY)
+        assert time.process_time() - start < 10, text[:20]
+
+
 def test_by_one_key_surrogates_never_meet():
     names = ["Paul", "Mark", "Jean"] + [a + b + c for a, b, c in itertools.product("BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz")]
     assert len({pii.surrogate("name, last", n, KEY) for n in names}) == len(names)
