@@ -58,7 +58,7 @@ MAIN_WORDS = frozenset(("articlebody", "articlecontent", "postcontent", "entryco
 FLOW = frozenset("p li h1 h2 h3 h4 h5 h6 tr td th dt dd option pre blockquote figcaption caption legend summary address".split())
 SIBLINGS = 16  # of any other label that are told apart
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _MARKING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)  # without any of these only its tag can mark an element
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
@@ -125,6 +125,19 @@ class Page:
             if links:
                 current[2] += len(piece.split())
 
+        ends: dict[str, dict[int, int]] = {}
+
+        def closed(tag: str, start: int) -> int | None:
+            """Where the element that begins at ``start`` has ended; all of one tag are paired once."""
+            if tag not in ends:
+                pairs, opened = ends.setdefault(tag, {}), []
+                for e in re.compile(rf"</?{re.escape(tag)}\b[^>]*>", re.IGNORECASE).finditer(text, start):
+                    if e[0][1] != "/":
+                        opened.append(e.start())
+                    elif opened:
+                        pairs[opened.pop()] = e.end()
+            return ends[tag].get(start)
+
         while at < n:
             start = text.find("<", at)
             if start < 0:
@@ -172,13 +185,7 @@ class Page:
                 if tag not in VOID and (tag in OTHER or _MARKING.search(m[3])) and _marks(tag, m[3])[1]:
                     # An inline element that marks other text goes with all it holds.
                     current = None
-                    end = re.compile(rf"</?{re.escape(tag)}\b[^>]*>", re.IGNORECASE)
-                    depth = 1
-                    for e in end.finditer(text, at):
-                        depth += -1 if e[0][1] == "/" else 1
-                        if not depth:
-                            place = e.end()
-                            break
+                    place = closed(tag, start) or at
                 if tag == "a" and place == at:
                     links += 1
                 at = place

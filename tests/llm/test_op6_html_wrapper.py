@@ -263,3 +263,14 @@ def test_items_of_a_slot_vary_one_by_one(spark):
 
     got = extract(spark, [(f"http://i.example/{i}", page(i)) for i in range(4)])
     assert got == {i: f"Words of page {i} and many others besides card {i} says more than that" for i in range(4)}
+
+
+def test_odd_html_takes_linear_time():
+    n = 100_000
+    for text in ("<" + "a" * n, "<span class=ad>" * (n // 15), "<div>" * (n // 5) + "x", "<p a='" * (n // 6)):
+        start = time.process_time()
+        hw.Page(text)
+        assert time.process_time() - start < 10, text[:20]
+    shown = lambda t: [b[1] for b in hw.Page(t).shown()]
+    assert shown("<p>a <span class=ad>b <span class=ad>c</span> d</span> e</p>") == ["a", "e"]
+    assert shown("<p>a <span class=ad>b <span class=ad>c</span> e</p>") == ["a", "b", "e"]
