@@ -92,10 +92,29 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's function that gives memory back about every half second and at its end."""
+_LARGE: list[Callable] = []
+
+
+def large(cached: Callable) -> Callable:
+    """A cached function whose results take so much memory that only tasks that use it find them in their worker."""
+    _LARGE.append(cached)
+    return cached
+
+
+def let_go(uses: Callable | None = None) -> None:
+    """Drop what earlier tasks of this worker left in the large caches, but for the one in use."""
+    others = [c for c in _LARGE if c is not uses and c.cache_info().currsize]
+    for cached in others:
+        cached.cache_clear()
+    if others:
+        give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back about every half second and at its end, and holds no large cache but the one it uses."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(uses)
         last = time.monotonic()
         for out in run(batches):
             yield out

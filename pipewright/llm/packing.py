@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut, word_encoder), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, **columns) -> DataFrame:
@@ -131,7 +131,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
     by_length: dict[int, list] = {}
     for r in runs:
         by_length.setdefault(r[0], []).append(r[1:])
-    groups = spark.createDataFrame([(k, max(1, -(-n // RANK_GROUP))) for k, n in histogram.items()], "length long, groups long")
+    # A list of rows would go through Python workers, and a daemon for them, that stay beside those of the next tasks.
+    groups = spark.createDataFrame(pa.table({"length": pa.array(list(histogram), pa.int64()), "groups": pa.array([max(1, -(-n // RANK_GROUP)) for n in histogram.values()], pa.int64())}))
     dealt = cut.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), "groups").cast("long"))
     sizes = dealt.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "group", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

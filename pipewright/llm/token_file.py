@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lower_ascii, new_folder, open_fs, partitions, slices, texts, word_hashes, words
+from .common import large, lean, lower_ascii, new_folder, open_fs, partitions, slices, texts, word_hashes, words
 
 MAGIC = b"PWDAC\x00\x00\x01"
 BLOCK = 512
@@ -130,6 +130,7 @@ _DOUBT = np.zeros(256, bool)
 _DOUBT[[*range(9), *range(14, 32), 0x3C, 0x7F, 0xC2, 0xC4, 0xC5, 0xC7, *range(0xC9, 256)]] = True
 
 
+@large
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -260,7 +261,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, folder: str, id
     filesystem.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return dealt.mapInArrow(lean(write), "shard long, path string, documents long, tokens long")
+    return dealt.mapInArrow(lean(write, word_encoder), "shard long, path string, documents long, tokens long")
 
 
 def read_token_files(spark, manifest: list, folder: str) -> DataFrame:

@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pipewright.llm import packing
+from pipewright.llm import packing, token_file
+from pipewright.llm.common import lean
 
 from .helpers import WORDS, table
 
@@ -85,3 +87,26 @@ def test_operator(spark, monkeypatch):
         assert at <= 64
     assert len(bins) == len(brute([w[3] for w in want], 64))
     assert packing.pack_documents(table(spark, [], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_packing_deals_its_groups_without_python_workers(spark):
+    plan = packing.pack_documents(table(spark, [(1, "some words"), (2, "more")], "doc_id long, text string").coalesce(1), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
+def test_tasks_of_other_kinds_find_no_tokenizer_in_their_worker(spark):
+    docs = table(spark, [(k, "some words") for k in range(40)], "doc_id long, text string").repartition(8)
+    kept = "kept int"
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([token_file.word_encoder.cache_info().currsize] * batch.num_rows, pa.int32())], names=["kept"])
+
+    def packed():
+        packing.pieces(docs, PATH, 1, 64).collect()
+
+    packed()
+    assert 1 in {r.kept for r in docs.mapInArrow(count, kept).collect()}  # workers live on
+    assert {r.kept for r in docs.mapInArrow(lean(count), kept).collect()} == {0}
+    packed()
+    assert 1 in {r.kept for r in docs.mapInArrow(lean(count, token_file.word_encoder), kept).collect()}
